@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, chat, mixing, simhash, toxicity, winnow
+from docloom.llm import bpe, chat, mixing, simhash, substrings, topk, toxicity, winnow
 
 
 def _on(table: str, f: Callable, *more: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,8 +16,10 @@ def _on(table: str, f: Callable, *more: str) -> Callable[[SparkSession, str], Da
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnow": _on("documents", winnow.op1_winnow),
+        "op2_substrings": _on("documents", substrings.op2_substrings),
         "op4_chat": _on("conversations", chat.op4_chat),
         "op5_mix": _on("documents", mixing.op5_mix),
+        "op6_topk": _on("embeddings", topk.op6_topk),
         "op7_simhash": _on("documents", simhash.op7_simhash),
         "op9_bpe_codec": _on("documents", bpe.op9_bpe_codec),
         "op10_toxicity": _on("documents", toxicity.op10_toxicity, "labels"),
@@ -25,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.ORACLE, "op5_mix": mixing.ORACLE}
+    return {"op4_chat": chat.ORACLE, "op5_mix": mixing.ORACLE, "op6_topk": topk.ORACLE}
