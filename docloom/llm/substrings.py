@@ -38,6 +38,8 @@ CONTEXT = LEFT + LENGTH
 ROW = 80  # bytes of a context with its range of strings and padding: ten words
 #: Bytes that multikey quicksort looks at before blind tries take over.
 SHALLOW = 24
+#: Contexts whose strings are sorted at once, about.
+AT_ONCE = 30_000
 #: Bits of an anchor's hash that are kept.
 HASH_BITS = 48
 
@@ -207,19 +209,22 @@ def earliest(rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
     new = np.append(True, (g[1:] != g[:-1]).any(axis=1)) if len(g) else np.empty(0, bool)
     head = np.flatnonzero(new)
     size = np.diff(np.append(head, len(g)))
-    some = np.sort(order[np.repeat(size > 1, size)])
-    if not len(some):
-        return least
-    text = rows[some].reshape(-1)
+    several = np.flatnonzero(size > 1)
+    upto = np.cumsum(size[several])
     back = np.arange(GRAMS)
-    at, k = np.nonzero((back >= rows[some, CONTEXT][:, None]) & (back <= rows[some, CONTEXT + 1][:, None]))
-    _, number = suffix_classes(text, at * ROW + LEFT - k)
-    owner = doc[some][at]
-    by = np.lexsort((owner, number))
-    first = np.flatnonzero(np.append(True, number[by][1:] != number[by][:-1]))
-    low = np.empty(int(number.max()) + 1, np.int64)
-    low[number[by][first]] = owner[by][first]
-    least[some[at], k] = low[number]
+    at = 0
+    while at < len(several):  # whole grams, about AT_ONCE contexts
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + AT_ONCE, side="right")))
+        some = np.concatenate([order[head[g] : head[g] + size[g]] for g in several[at:end].tolist()])
+        at = end
+        row, k = np.nonzero((back >= rows[some, CONTEXT][:, None]) & (back <= rows[some, CONTEXT + 1][:, None]))
+        _, number = suffix_classes(rows[some].reshape(-1), row * ROW + LEFT - k)
+        owner = doc[some][row]
+        by = np.lexsort((owner, number))
+        first = np.flatnonzero(np.append(True, number[by][1:] != number[by][:-1]))
+        low = np.empty(len(first), np.int64)
+        low[number[by][first]] = owner[by][first]
+        least[some[row], k] = low[number]
     return least
 
 
@@ -313,11 +318,11 @@ def cut_repeats(docs: DataFrame, text: str = "text", blocks: int | None = None,
     null doc_id are kept whole and remove nothing. Texts shorter than LENGTH lose nothing. Repeated rows stay. Columns of docs
     with the names of new ones are replaced. An empty table gives an empty table.
 
-    Copies in a block, however many, are one context; a bucket has one row from each block. blocks and buckets (4 and 2 times
+    Copies in a block, however many, are one context; a bucket has one row from each block. blocks and buckets (2 and 4 times
     the shuffle partitions) must grow with the input so that each fits a worker's memory.
     """
     parts = n_parts(docs.sparkSession)
-    n_blocks, n_buckets = blocks or 4 * parts, buckets or 2 * parts
+    n_blocks, n_buckets = blocks or 2 * parts, buckets or 4 * parts
     docs = docs.drop("kept", "n_bytes", "n_removed", "spans", "_block")
     by = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64("doc_id"))
     dealt = docs.withColumn("_block", F.pmod(by, F.lit(n_blocks)).cast("int")).repartition(parts, "_block")
