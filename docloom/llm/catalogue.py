@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, chat, mixing, simhash, substrings, topk, toxicity, winnow
+from docloom.llm import bpe, chat, lm, mixing, simhash, substrings, topk, toxicity, winnow
 
 
 def _on(table: str, f: Callable, *more: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnow": _on("documents", winnow.op1_winnow),
         "op2_substrings": _on("documents", substrings.op2_substrings),
+        "op3_lm": _on("documents", lm.op3_lm),
         "op4_chat": _on("conversations", chat.op4_chat),
         "op5_mix": _on("documents", mixing.op5_mix),
         "op6_topk": _on("embeddings", topk.op6_topk),
