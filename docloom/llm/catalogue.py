@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, chat, lm, mixing, simhash, substrings, topk, toxicity, winnow
+from docloom.llm import bpe, chat, licenses, lm, mixing, simhash, substrings, topk, toxicity, winnow
 
 
 def _on(table: str, f: Callable, *more: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,10 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mix": _on("documents", mixing.op5_mix),
         "op6_topk": _on("embeddings", topk.op6_topk),
         "op7_simhash": _on("documents", simhash.op7_simhash),
+        "op8_licenses": _on("documents", licenses.op8_licenses),
         "op9_bpe_codec": _on("documents", bpe.op9_bpe_codec),
         "op10_toxicity": _on("documents", toxicity.op10_toxicity, "labels"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.ORACLE, "op5_mix": mixing.ORACLE, "op6_topk": topk.ORACLE}
+    return {"op4_chat": chat.ORACLE, "op5_mix": mixing.ORACLE, "op6_topk": topk.ORACLE, "op8_licenses": licenses.ORACLE}
