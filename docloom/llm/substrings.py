@@ -309,7 +309,7 @@ def _removed(n: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def cut_repeats(docs: DataFrame, text: str = "text", blocks: int | None = None, buckets: int | None = None) -> DataFrame:
+def cut_repeats(docs: DataFrame, text: str = "text", blocks: int | None = None, buckets: int | None = None, in_place: bool = False) -> DataFrame:
     """docs with `kept` (binary: the bytes left, in order), `n_bytes`, `n_removed` (long) and `spans` (array of struct<start, end>: the
     bytes removed, as maximal runs).
 
@@ -318,6 +318,8 @@ def cut_repeats(docs: DataFrame, text: str = "text", blocks: int | None = None,
     null doc_id are kept whole and remove nothing. Texts shorter than LENGTH lose nothing. Repeated rows stay. Columns of docs
     with the names of new ones are replaced. An empty table gives an empty table.
 
+    in_place: what is left also takes the text's place, without the parts of characters that were cut in two.
+
     Copies in a block, however many, are one context; a bucket has one row from each block. blocks and buckets (2 and 4 times
     the shuffle partitions) must grow with the input so that each fits a worker's memory.
     """
@@ -392,6 +394,9 @@ def cut_repeats(docs: DataFrame, text: str = "text", blocks: int | None = None,
             kept.append(b[~gone].tobytes()), removed.append(int(gone.sum()))
             spans.append([{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)])
         left = left.drop_columns("_block")
+        if in_place:
+            whole = pa.array([None if t is None else k.decode("utf-8", "ignore") for t, k in zip(left.column(text).to_pylist(), kept, strict=True)], pa.string())
+            left = left.set_column(left.column_names.index(text), text, whole)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for name, column, kind in (("kept", kept, pa.binary()), ("n_bytes", [len(b) for b in block.bytes], pa.int64()), ("n_removed", removed, pa.int64()), ("spans", spans, span)):
             left = left.append_column(name, pa.array(column, kind))
