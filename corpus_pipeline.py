@@ -1,37 +1,58 @@
-"""A corpus pipeline: each stage reads what the one before it wrote."""
+"""A corpus pipeline over documents: each stage reads what the one before it wrote."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, simhash, toxicity
+from docloom.llm import bpe, mixing, simhash, substrings, toxicity
 from docloom.llm.common import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't predict to be toxic."""
+    """Documents that the toxicity model (learnt from the labels of these documents) doesn't predict to be toxic."""
     model = toxicity.train_from_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_documents(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that of the smallest doc_id."""
+    """The document of the smallest doc_id of each SimHash component. Rows with a null doc_id can't be told apart; they stay."""
     keep = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(keep, "doc_id", "left_semi").unionAll(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without what a document of a smaller doc_id has; n_chars follows. Documents of which nothing is left stay, empty."""
+    found = substrings.cut_repeats(docs, in_place=True)
+    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: the words taken over its size, rounded, so that documents stay whole. Only
+    the documents at the two ends of a shard's run are taken in part. Documents without words have no part in a mix."""
+    taken = mixing.mix(docs, carry=[c for c in docs.columns if c not in ("doc_id", "source")])
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
+    return taken.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and their digests; the text's round trip is part of the row."""
+    """Token ids (binary, little-endian unsigned 32-bit integers), their number, and digests of them and of the decoded bytes."""
     import public_tokenizers
 
     found = bpe.encode_documents(docs, public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
-    return found.select(*docs.columns, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return found.select(*docs.columns, "ids", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("toxicity", drop_toxic), ("simhash near-duplicates", drop_near_copies), ("byte-level BPE", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("suffix-array dedup", cut_repeated_passages),
+    ("source mixing", mix_sources),
+    ("byte-level BPE", encode),
+]
 
-#: The stages train a model, hash texts and follow links; tests hold them against brute force.
+#: The first stage trains a model, which SQL can't express; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
