@@ -252,7 +252,7 @@ def json_fields(doc: Column | str, names: Sequence[str]) -> Column:
 def html_escape(text: Column | str) -> Column:
     """<, >, & and the two line separators as \\u escapes, by built-in functions."""
     c = _column(text)
-    for char, code in (("<", "003c"), (">", "003e"), ("&", "0026"), (" ", "2028"), (" ", "2029")):
+    for char, code in (("<", "003c"), (">", "003e"), ("&", "0026"), ("\u2028", "2028"), ("\u2029", "2029")):
         c = F.replace(c, F.lit(char), F.lit("\\u" + code))
     return c
 

@@ -96,7 +96,7 @@ def dumps(value: Any, config: EncodeConfig | None = None) -> str:
             return "\\t" if config.escape_tabs else c
         if c == "/":
             return "\\/" if config.escape_slash else c
-        if c < " " or (config.escape_html and c in "<>&  ") or (config.escape_unicode and "\x7f" < c <= "￿"):
+        if c < " " or (config.escape_html and c in "<>&\u2028\u2029") or (config.escape_unicode and "\x7f" < c <= "\uffff"):
             return f"\\u{ord(c):04x}"
         return c
 

@@ -82,7 +82,7 @@ def json_input_error(doc: Column | str, config: Config = DEFAULT) -> Column:
         out = []
         for d in docs:
             code = None
-            if not d or d.startswith("﻿"):
+            if not d or d.startswith("\ufeff"):
                 code = INVALID_JSON
             elif len(d.encode("utf-8", "surrogatepass")) > config.max_json_size:
                 code = SIZE_LIMIT

@@ -22,7 +22,7 @@ from docloom.errors import INVALID_PATH, SECURITY_VIOLATION, JsonError
 PROPERTY, INDEX, SLICE, WILDCARD, EXTRACT, FIELDS, APPEND = "property", "index", "slice", "wildcard", "extract", "fields", "append"
 
 #: Characters without width that could hide in a path.
-ZERO_WIDTH = "​‌‍⁠﻿"
+ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
 #: Percent escapes of dots, slashes and NUL, once or twice encoded, and overlong UTF-8 of a slash.
 BYPASS = re.compile(r"%2e|%2f|%5c|%00|%252e|%252f|%c0%af|%c1%9c", re.I)
 SIMPLE = re.compile(r"[A-Za-z_]\w{0,63}\Z", re.A)
