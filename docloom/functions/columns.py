@@ -71,6 +71,49 @@ def native_extract(v: Column, name: str) -> Column:
     return F.filter(F.transform(variant_array(v), lambda x: F.try_variant_get(x, path, "variant")), lambda x: x.isNotNull())
 
 
+def _entries(v: Column) -> Column:
+    """The entries of an object VARIANT; NULL for anything else."""
+    return v.try_cast("map<string,variant>")
+
+
+def native_put(v: Column | str, path: str, value: Column) -> Column:
+    """An object VARIANT with a value at a path of names, by built-in functions. Missing objects on the way are made; NULL where
+    something on the way is neither an object nor null."""
+    names = [s.key for s in parse(path) if s.kind == "property"]
+    if not names or len(names) != len(parse(path)):
+        raise JsonError(INVALID_PATH, "only names have a native form", "native_put", path)
+
+    def put(at: Column, rest: list[str]) -> Column:
+        own = F.coalesce(_entries(at), F.when(at.isNull() | F.is_variant_null(at), F.expr("cast(map() as map<string,variant>)")))
+        new = value.cast("variant") if len(rest) == 1 else put(F.try_variant_get(at, "$['" + rest[0] + "']", "variant"), rest[1:])
+        return F.to_variant_object(F.map_concat(F.map_filter(own, lambda k, _: k != rest[0]), F.when(new.isNotNull(), F.create_map(F.lit(rest[0]), new))))
+
+    return put(_column(v), names)
+
+
+def native_remove(v: Column | str, *names: str) -> Column:
+    """An object VARIANT without some of its entries; what isn't there doesn't matter."""
+    return F.to_variant_object(F.map_filter(_entries(_column(v)), lambda k, _: ~k.isin(*names)))
+
+
+def native_pick(v: Column | str, *names: str) -> Column:
+    """An object VARIANT with some of its entries only."""
+    return F.to_variant_object(F.map_filter(_entries(_column(v)), lambda k, _: k.isin(*names)))
+
+
+def native_merge(a: Column | str, b: Column | str, mode: str = values.UNION) -> Column:
+    """Two object VARIANTs merged by their top-level keys, by built-in functions: for documents that hold no nested objects or
+    arrays under common keys this is json_merge."""
+    x, y = _entries(_column(a)), _entries(_column(b))
+    if mode == values.UNION:
+        out = F.map_zip_with(x, y, lambda _, p, q: F.coalesce(q, p))
+    elif mode == values.INTERSECTION:
+        out = F.map_filter(y, lambda k, q: F.map_contains_key(x, k) & ~F.is_variant_null(q))
+    else:
+        out = F.map_filter(x, lambda k, _: ~F.map_contains_key(y, k))
+    return F.to_variant_object(out)
+
+
 def _texts(f: Callable[[Any], Any], config: Config, kind: str = "string") -> Callable[[Column | str], Column]:
     """A function of the parsed document as a Column; NULL where it raises a JsonError."""
 

@@ -276,6 +276,39 @@ def json_delete_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.size(F.from_json("d", "map<string,string>")).alias("entries"))
 
 
+@query("json_native_change", f"SELECT c_custkey, 'new' AS segment, 5 AS made, n_name AS nation, false AS has_name, CAST(4 AS BIGINT) AS n FROM {_CUSTOMERS}")
+def json_native_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1, D5, E1 on parsed documents, all in the JVM."""
+    v = customer_docs(spark, sf_dir).select("c_custkey", C.variant("doc").alias("v"))
+    v = v.select("c_custkey", C.native_put("v", "c_mktsegment", F.lit("new")).alias("v"))
+    v = v.select("c_custkey", C.native_remove(C.native_put("v", "extra.deep", F.lit(5)), "c_name").alias("v"))
+    return v.select(
+        "c_custkey",
+        C.native_typed("v", "c_mktsegment", "string").alias("segment"),
+        C.native_typed("v", "extra.deep", "int").alias("made"),
+        C.native_typed("v", "nation.name", "string").alias("nation"),
+        C.native_get("v", "c_name").isNotNull().alias("has_name"),
+        F.size(F.col("v").cast("map<string,variant>")).cast("long").alias("n"),
+    )
+
+
+@query("json_native_merge", f"SELECT c_custkey, 'b' AS segment, c_name AS name, 1 AS added, CAST(5 AS BIGINT) AS n_union, CAST(1 AS BIGINT) AS n_both, CAST(3 AS BIGINT) AS n_only FROM {_CUSTOMERS}")
+def json_native_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 to K3 on parsed flat documents, all in the JVM."""
+    d = customer_docs(spark, sf_dir).select("c_custkey", C.variant("doc").alias("a"), C.variant(F.lit('{"c_mktsegment":"b","x":1}')).alias("b"))
+    d = d.select("c_custkey", *[C.native_merge("a", "b", m).alias(m) for m in ("union", "intersection", "difference")])
+    n = lambda c: F.size(F.col(c).cast("map<string,variant>")).cast("long")
+    return d.select(
+        "c_custkey",
+        C.native_typed("union", "c_mktsegment", "string").alias("segment"),
+        C.native_typed("union", "c_name", "string").alias("name"),
+        C.native_typed("union", "x", "int").alias("added"),
+        n("union").alias("n_union"),
+        n("intersection").alias("n_both"),
+        n("difference").alias("n_only"),
+    )
+
+
 # ---- iteration
 
 

@@ -43,6 +43,19 @@ def test_native_columns_agree_with_the_interpreter(spark):
         assert [json.loads(r[0]) for r in one(df, native)] == [json.loads(r[0]) for r in one(df, C.json_get("doc", "l" + s))], s
 
 
+def test_native_changes(spark):
+    rows = [(i, d) for i, d in enumerate(['{"a":1,"b":{"c":2}}', "{}", '{"b":null}', '{"b":{"d":[1]}}'])]
+    df = spark.createDataFrame(rows, "id long, doc string").withColumn("v", C.variant("doc"))
+    for path in ("a", "b.c", "x.y.z"):
+        assert [json.loads(r[0]) for r in one(df, F.to_json(C.native_put("v", path, F.lit(7))))] == [json.loads(r[0]) for r in one(df, C.json_set("doc", path, 7))], path
+    assert [r[0] for r in one(df, F.to_json(C.native_remove("v", "b")))] == ['{"a":1}', "{}", "{}", "{}"]
+    assert [r[0] for r in one(df, F.to_json(C.native_pick("v", "a")))] == ['{"a":1}', "{}", "{}", "{}"]
+    other = '{"a":2,"z":3}'
+    for mode in (values.UNION, values.INTERSECTION, values.DIFFERENCE):
+        native = F.to_json(C.native_merge("v", C.variant(F.lit(other)), mode))
+        assert [json.loads(r[0]) for r in one(df, native)] == [json.loads(r[0]) for r in one(df, C.json_merge("doc", F.lit(other), mode))], mode
+
+
 def test_change_columns(docs):
     got = one(docs, C.json_set("doc", "x.y", "v"), C.json_delete("doc", "a"))
     assert got[0] == ('{"a":{"b":1},"l":[1,2,3],"x":{"y":"v"}}', '{"l":[1,2,3]}')
