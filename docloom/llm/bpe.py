@@ -7,12 +7,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm.common import map_texts
+
 RANKS = "byte_bpe_50k.tiktoken"
 #: Texts longer than this many characters are cut at safe places.
 PIECE = 1 << 16
@@ -76,18 +78,18 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text",
     Rows are handled alone: no shuffle, and repeated rows stay. Null and empty texts have empty ids. Columns of df named
     ids or decoded are replaced. An empty table gives an empty table.
     """
-    df = df.drop("ids", "decoded")
-    out = T.StructType([*df.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         enc = encoding(path, pattern)
-        for pdf in batches:
-            ids = [encode_text(x, enc, pattern) for x in pdf[text]]
-            pdf["ids"] = [x.tobytes() for x in ids]
-            pdf["decoded"] = [enc.decode_bytes(x.tolist()) for x in ids] if decode else None
-            yield pdf
 
-    return df.mapInPandas(run, out)
+        def run(texts: list[str | None]) -> list[pa.Array]:
+            ids = [encode_text(x, enc, pattern) for x in texts]
+            out = [pa.array([x.tobytes() for x in ids], pa.binary())]
+            return [*out, pa.array([enc.decode_bytes(x.tolist()) for x in ids], pa.binary())] if decode else out
+
+        return run
+
+    return map_texts(df, text, [("ids", T.BinaryType()), ("decoded", T.BinaryType())][: 1 + decode], make)
 
 
 def op9_bpe_codec(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,6 +56,33 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give free memory back to the system. Workers live through many tasks, and each would keep its largest task's memory."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
+def map_texts(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], make: Callable[[], Callable[[list], list[pa.Array]]], rows: int = 256) -> DataFrame:
+    """df with new columns worked out from texts, `rows` of them at a time whatever the batches' size. `make` sets up in each task
+    a function from a list of texts to an Arrow array for each field. Columns of df with a new name are replaced; all others pass
+    as they are, whatever their types and nulls."""
+    df = df.drop(*[name for name, _ in fields])
+    out = T.StructType([*df.schema.fields, *[T.StructField(name, kind) for name, kind in fields]])
+    names = [f.name for f in out.fields]
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, *f(part.column(at).to_pylist())], names=names)
+        release()
+
+    return df.mapInArrow(run, out)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64) over uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

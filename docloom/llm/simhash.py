@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import cut, n_parts, words_of
+from docloom.llm.common import cut, map_texts, n_parts, words_of
 from docloom.llm.components import components
 
 #: Fixed value: generator polynomial x^11+x^9+x^7+x^6+x^5+x+1 of the [23,12,7] Golay code.
@@ -43,36 +45,24 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataFrame:
     """(doc_id, fp): fp has the 64 bits as a signed long."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64).view(np.int64)})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    make = lambda: lambda texts: [pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))]
+    return map_texts(rows, "text", [("fp", T.LongType())], make).drop("text")
 
 
 @lru_cache(1)
 def _golay() -> tuple[np.ndarray, np.ndarray]:
     """For each 11-bit syndrome, the error word of weight 3 or less; and for each the errors of weight 4, as a matrix padded with -1."""
-    syndrome = np.zeros(1 << 23, np.int32)
-    words = np.arange(1 << 23, dtype=np.int32)
-    x = words.copy()
-    for bit in range(22, 10, -1):
-        x ^= np.where((x >> bit) & 1, np.int32(GOLAY << (bit - 11)), np.int32(0))
-    syndrome = x
-    weight = np.zeros(1 << 23, np.int8)
-    for bit in range(23):
-        weight += ((words >> bit) & 1).astype(np.int8)
-    lead = np.zeros(1 << 11, np.int32)
-    few = np.flatnonzero(weight <= 3).astype(np.int32)
-    lead[syndrome[few]] = few
-    four = np.flatnonzero(weight == 4).astype(np.int32)
-    order = np.argsort(syndrome[four], kind="stable")
-    four = four[order]
-    s = syndrome[four]
+    words = {n: np.array([sum(1 << b for b in bits) for bits in combinations(range(23), n)], np.int64) for n in range(5)}
+    lead = np.zeros(1 << 11, np.int64)
+    for n in range(4):
+        lead[_syndrome(words[n])] = words[n]
+    four = words[4]
+    s = _syndrome(four)
+    order = np.argsort(s, kind="stable")
+    four, s = four[order], s[order]
     first = np.searchsorted(s, np.arange(1 << 11))
-    counts = np.diff(np.append(first, len(s)))
-    far = np.full((1 << 11, counts.max()), -1, np.int32)
+    far = np.full((1 << 11, np.diff(np.append(first, len(s))).max()), -1, np.int64)
     far[s, np.arange(len(s)) - first[s]] = four
     return lead, far
 

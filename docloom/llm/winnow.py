@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docloom.llm.common import gram_hashes, n_parts, window_minima
+from docloom.llm.common import gram_hashes, map_texts, n_parts, window_minima
 
 #: Characters of a gram and grams of a window: any common passage of K + W - 1 = 100 characters shares a fingerprint.
 K, W = 50, 51
@@ -52,19 +54,16 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprint_documents(docs: DataFrame, k: int = K, w: int = W, text: str = "text") -> DataFrame:
     """docs with `positions` (array<long>) and `hashes` (array<long>, the 64 bits signed). Null texts count as empty; rows are
     handled alone and repeated rows stay. Columns of docs with these names are replaced."""
-    from pyspark.sql import types as T
-
-    docs = docs.drop("positions", "hashes")
     longs = T.ArrayType(T.LongType())
-    out = T.StructType([*docs.schema.fields, T.StructField("positions", longs), T.StructField("hashes", longs)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [winnow(code_points(t), k, w) for t in pdf[text]]
-            pdf["positions"], pdf["hashes"] = [a.tolist() for a, _ in found], [h.view(np.int64).tolist() for _, h in found]
-            yield pdf
+    def make():
+        def run(texts: list[str | None]) -> list[pa.Array]:
+            found = [winnow(code_points(t), k, w) for t in texts]
+            return [pa.array([x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in zip(*found, strict=True)]
+
+        return run
 
-    return docs.mapInPandas(run, out)
+    return map_texts(docs, text, [("positions", longs), ("hashes", longs)], make)
 
 
 def runs_of_neighbours(docs: DataFrame, text: str = "text", docs_per_run: int = 500, most_runs: int = 20_000) -> DataFrame:
