@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import crc_mod, mix64, words_of
+from docloom.llm.common import crc_mod, map_texts, mix64, words_of
 
 #: Size of the hashed feature space, as a power of two.
 BITS = 20
 #: The bound on labelled documents that the model is fitted on: those with the smallest hashes of doc_id.
-TRAIN_DOCS = 8_000
+TRAIN_DOCS = 12_000
+#: Steps of training, about; rows that a feature must be in; steps for each row of label 1, the rarer one.
+STEPS, SEEN, POSITIVE_STEPS = 48_000, 3, 2
 #: Punctuation taken off both ends of a word.
 EDGES = b".,;:!?\"'()[]{}<>|*_-"
 
@@ -26,7 +27,7 @@ class _WordHashes(dict):
     """Word to 64-bit hash, computed once; emptied when it grows large."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w.strip(EDGES))
         return h
@@ -52,10 +53,10 @@ class FTRL:
     """FTRL-proximal: a rate for each coordinate, L1 for sparsity. Slot 2**bits is the bias, which has no L1."""
 
     bits: int = BITS
-    alpha: float = 0.08
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 1.0
+    l1: float = 6.0
+    l2: float = 0.3
     z: np.ndarray = field(init=False)
     n: np.ndarray = field(init=False)
 
@@ -106,34 +107,36 @@ class Model:
         return score
 
 
-def _feature_rows(bits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _WordHashes()
-        for pdf in batches:
-            yield pd.DataFrame({"k": pdf["k"], "y": pdf["y"], "x": [np.unique(features(t, cache, bits)).astype("<u4").tobytes() for t in pdf["text"]]})
-
-    return run
-
-
-def fit(labelled: DataFrame, bits: int = BITS, train_docs: int = TRAIN_DOCS, epochs: int = 4) -> Model:
-    """Fit on labelled rows (doc_id, text, toxic). Rows with a null label are left out.
+def fit(labelled: DataFrame, bits: int = BITS, steps: int = STEPS) -> Model:
+    """Fit on labelled rows (doc_id, text, toxic), of which the caller holds the number down. Rows with a null label are left out.
 
-    At most train_docs rows are used, those of the smallest hash of doc_id: the same rows on every run, and what the
-    driver receives is bounded (a few KB of feature ids a row). With no rows every score is 0.5.
+    The driver receives the features of each row, a few KB. It makes about `steps` steps, in a fixed order; features of fewer
+    than SEEN rows are left out. With no rows every score is 0.5.
     """
-    rows = labelled.where(F.col("toxic").isNotNull()).select(F.xxhash64("doc_id", "toxic").alias("k"), F.col("toxic").cast("int").alias("y"), "text")
-    found = rows.mapInPandas(_feature_rows(bits), "k long, y int, x binary")
-    model, xs, ys = FTRL(bits), [], []
-    for r in sorted(found.toLocalIterator(), key=lambda r: (r["k"], r["y"], bytes(r["x"]))):
-        xs.append(np.frombuffer(r["x"], "<u4").astype(np.int64))
-        ys.append(int(r["y"] > 0))
+    rows = labelled.where(F.col("toxic").isNotNull()).select(F.xxhash64("doc_id", "toxic").alias("k"), (F.col("toxic") > 0).cast("int").alias("y"), "text")
+
+    def make():
+        cache = _WordHashes()
+        return lambda texts: [pa.array([np.unique(features(t, cache, bits)).astype("<u4").tobytes() for t in texts], pa.binary())]
+
+    found = map_texts(rows, "text", [("x", T.BinaryType())], make).drop("text")
+    got = sorted((r["k"], r["y"], bytes(r["x"])) for r in found.toLocalIterator())
+    model, seen = FTRL(bits), np.zeros(2**bits, np.int32)
+    for _, _, x in got:
+        seen[np.frombuffer(x, "<u4")] += 1
+    xs, ys = [], [y for _, y, _ in got]
+    for i in range(len(got)):
+        x = np.frombuffer(got[i][2], "<u4")
+        xs.append(x[seen[x] >= SEEN])
+        got[i] = None  # the filtered copy is enough
     rng = np.random.default_rng(7)
-    for _ in range(epochs):
+    for _ in range(min(12, max(4, steps // len(xs))) if xs else 0):
         for i in rng.permutation(len(xs)):
-            model.learn(xs[i], ys[i])
+            for _ in range(POSITIVE_STEPS if ys[i] else 1):
+                model.learn(xs[i], ys[i])
     w = model.weights(slice(0, 2**bits))
     index = np.flatnonzero(w)
-    return Model(index, w[index].astype(np.float64), model.bias(), bits)
+    return Model(index, w[index].astype(np.float64), model.bias() if xs else 0.0, bits)
 
 
 def bounded_labels(labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -145,23 +148,23 @@ def bounded_labels(labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame
 def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with `score` (0 to 1) and `predicted` (score >= 0.5). Null and empty texts get the bias alone. Rows are handled
     alone, repeated rows stay, and columns of docs named score or predicted are replaced."""
-    docs = docs.drop("score", "predicted")
-    out = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         score = model.scorer()
-        for pdf in batches:
-            pdf["score"] = np.array([score(t) for t in pdf[text]], np.float64)
-            pdf["predicted"] = (pdf["score"] >= 0.5).astype(np.int32)
-            yield pdf
 
-    return docs.mapInPandas(run, out)
+        def run(texts: list[str | None]) -> list[pa.Array]:
+            x = np.array([score(t) for t in texts], np.float64)
+            return [pa.array(x), pa.array((x >= 0.5).astype(np.int32))]
+
+        return run
+
+    return map_texts(docs, text, [("score", T.DoubleType()), ("predicted", T.IntegerType())], make)
 
 
 def train_from_tables(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Learn from labels of documents whose crc32(doc_id as text) mod 5 isn't 0."""
     chosen = bounded_labels(labels.where(crc_mod("doc_id", 5) != 0), train_docs)
-    return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), train_docs=train_docs)  # train_docs rows of two numbers at most
+    return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # train_docs rows of two numbers at most
 
 
 def op10_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
