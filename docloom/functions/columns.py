@@ -190,20 +190,36 @@ def json_set(doc: Column | str, path: str, value: Column | str | int | float | b
     """The document with a value at a path. Columns of text are taken as texts, or as JSON with raw. Where it fails the original
     text comes back, as do NULL and what isn't JSON."""
     segments = parse(path, config)
-    new = value if isinstance(value, Column) else F.lit(value)
-    packed = new.cast("string") if raw else F.to_json(F.struct(new.alias("v")))
+
+    def changed(d: str | None, new: Any) -> str | None:
+        try:
+            return values.dumps(interp.set_value(values.loads(d, config), segments, new, config, owned=True), config.encode)
+        except JsonError:
+            return d
+
+    if not isinstance(value, Column):
+        try:
+            given = values.loads(value) if raw and value is not None else value
+        except JsonError:
+            return _column(doc)
+
+        def run_one(docs: pd.Series) -> pd.Series:
+            return pd.Series([changed(d, interp.copied(given)) for d in docs], dtype=object)
+
+        return F.pandas_udf(run_one, returnType="string")(_column(doc))
 
     def run(docs: pd.Series, news: pd.Series) -> pd.Series:
         out = []
         for d, n in zip(docs, news, strict=True):
             try:
                 given = (values.loads(n) if n is not None else None) if raw else values.loads(n).get("v")
-                out.append(values.dumps(interp.set_value(values.loads(d, config), segments, given, config), config.encode))
             except JsonError:
                 out.append(d)
+                continue
+            out.append(changed(d, given))
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(run, returnType="string")(_column(doc), packed)
+    return F.pandas_udf(run, returnType="string")(_column(doc), value.cast("string") if raw else F.to_json(F.struct(value.alias("v"))))
 
 
 def json_set_many(doc: Column | str, changes: Mapping[str, Any], config: Config = DEFAULT) -> Column:
@@ -222,6 +238,31 @@ def json_set_many(doc: Column | str, changes: Mapping[str, Any], config: Config
     return F.pandas_udf(run, returnType="string")(_column(doc))
 
 
+def json_apply(doc: Column | str, changes: Sequence[tuple], config: Config = DEFAULT) -> Column:
+    """Several changes in one parse, one after the other: ("set", path, value) and ("delete", path). The original text where one
+    of them fails; with continue_on_error those that fail are left out."""
+    plan = [(c[0], parse(c[1], config), c[2] if len(c) > 2 else None) for c in changes]
+
+    def run(docs: pd.Series) -> pd.Series:
+        out = []
+        for d in docs:
+            try:
+                v = values.loads(d, config)
+                for op, segments, new in plan:
+                    try:
+                        owned = not config.continue_on_error
+                        v = interp.set_value(v, segments, interp.copied(new), config, owned) if op == "set" else interp.delete(v, segments, config, owned)
+                    except JsonError:
+                        if not config.continue_on_error:
+                            raise
+                out.append(values.dumps(v, config.encode))
+            except JsonError:
+                out.append(d)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, returnType="string")(_column(doc))
+
+
 def json_delete(doc: Column | str, path: str, config: Config = DEFAULT) -> Column:
     """The document without what is at a path; the original text where that isn't there. The configuration may ask to clean up
     nulls and compact arrays of the whole document after it."""
@@ -231,7 +272,7 @@ def json_delete(doc: Column | str, path: str, config: Config = DEFAULT) -> Colum
         out = []
         for d in docs:
             try:
-                v = interp.delete(values.loads(d, config), segments, config)
+                v = interp.delete(values.loads(d, config), segments, config, owned=True)
                 out.append(values.dumps(values.clean(v, config.compact_arrays) if config.cleanup_nulls else v, config.encode))
             except JsonError:
                 out.append(d)

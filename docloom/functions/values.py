@@ -78,9 +78,18 @@ def number_text(x: float, config: EncodeConfig | None = None) -> str:
     return text
 
 
+#: What the standard encoder writes otherwise: exponents, whole floats, and numbers that aren't JSON.
+_OTHER_NUMBER = re.compile(r"\de[-+]?\d|\d\.0(?![0-9])|NaN|Infinity")
+_standard = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"), check_circular=False).encode
+
+
 def dumps(value: Any, config: EncodeConfig | None = None) -> str:
     """Text of a value, keys sorted: equal values have equal texts. config sets everything else."""
-    config = config or EncodeConfig()
+    if config is None or config == _PLAIN:
+        text = _standard(value)
+        if not _OTHER_NUMBER.search(text):
+            return text
+    config = config or _PLAIN
     custom = dict(config.escapes)
 
     def char(c: str) -> str:
@@ -130,6 +139,9 @@ def dumps(value: Any, config: EncodeConfig | None = None) -> str:
     return write(value, 0)
 
 
+_PLAIN = EncodeConfig()
+
+
 def identity(value: Any) -> str:
     """A key that two values share if they are equal: 1 is 1.0, order of keys doesn't matter."""
     return dumps(value)

@@ -218,28 +218,22 @@ def json_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("json_set", f"WITH {_LINES} SELECT o_orderkey, 'done' AS status, 99 AS first_qty, len(l) + 1 AS grown, 7 AS made, 0 AS every FROM o")
 def json_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Property, index, append, created path, wildcard."""
-    d = order_docs(spark, sf_dir)
-    changed = C.json_set(C.json_set(C.json_set(C.json_set("doc", "order.status", "done"), "lines[0].qty", 99), "lines[+]", '{"part":1}', raw=True), "new.path.x", 7)
-    d = d.select("o_orderkey", changed.alias("doc")).select("o_orderkey", "doc", C.json_set("doc", "lines[*].part", 0).alias("zero"))
-    return d.select(
-        "o_orderkey",
-        C.json_get_typed("doc", "order.status", "string").alias("status"),
-        C.json_get_typed("doc", "lines[0].qty", "int").alias("first_qty"),
-        F.size(F.from_json(C.json_get("doc", "lines"), "array<string>")).cast("long").alias("grown"),
-        C.json_get_typed("doc", "new.path.x", "int").alias("made"),
-        C.json_get_typed("zero", "lines[-1].part", "int").alias("every"),
-    )
+    changes = [("set", "order.status", "done"), ("set", "lines[0].qty", 99), ("set", "lines[+]", {"part": 1}), ("set", "new.path.x", 7), ("set", "lines[*].part", 0)]
+    d = order_docs(spark, sf_dir).select("o_orderkey", C.json_apply("doc", changes).alias("doc"))
+    paths = {"status": ("order.status", "string"), "first_qty": ("lines[0].qty", "int"), "lines": ("lines", "string"), "made": ("new.path.x", "int"), "every": ("lines[-1].part", "int")}
+    d = d.select("o_orderkey", C.json_get_all("doc", paths).alias("g"))
+    grown = F.size(F.from_json("g.lines", "array<string>")).cast("long").alias("grown")
+    return d.select("o_orderkey", "g.status", "g.first_qty", grown, "g.made", "g.every")
 
 
 @query("json_set_slice", f"WITH {_LINES} SELECT o_orderkey, CAST(list_sum(list_transform(l, lambda x, i: CASE WHEN i IN (1, 2) THEN 0 ELSE x.part END)) AS BIGINT) AS part_sum, greatest(len(l), 2) AS n FROM o WHERE len(l) >= 2")
 def json_set_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every element of a slice."""
-    parts = C.json_get("doc", "lines{part}")
-    d = order_docs(spark, sf_dir).select("o_orderkey", F.concat(F.lit('{"p":'), parts, F.lit("}")).alias("doc")).select("o_orderkey", C.json_get(C.json_set("doc", "p[0:2]", 0), "p").alias("p"))
-    p = F.from_json("p", "array<bigint>")
-    return d.select("o_orderkey", F.aggregate(p, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("part_sum"), F.size(p).cast("long").alias("n")).where("n >= 2").join(
-        table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("_c")).where("_c >= 2").select("o_orderkey"), "o_orderkey", "left_semi"
-    )
+    parts = F.from_json("doc", "struct<lines: array<struct<part: bigint>>>")["lines"]["part"]
+    d = order_docs(spark, sf_dir).select("o_orderkey", F.to_json(F.struct(parts.alias("p"))).alias("doc"), F.size(parts).alias("n_lines")).where("n_lines >= 2")
+    p = F.from_json(F.get_json_object(C.json_set("doc", "p[0:2]", 0), "$.p"), "array<bigint>")
+    d = d.select("o_orderkey", F.explode(F.array(p)).alias("p"))  # worked out once
+    return d.select("o_orderkey", F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("part_sum"), F.size("p").cast("long").alias("n"))
 
 
 @query("json_set_many", "SELECT event_id, 1 AS a, 'x' AS b, true AS kept FROM events")
@@ -255,10 +249,12 @@ def json_set_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def json_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index, extracted field, a missing property that leaves the text."""
-    d = order_docs(spark, sf_dir).select("o_orderkey", "doc", C.json_delete(C.json_delete("doc", "lines[0]"), "lines{flag}").alias("cut"), C.json_delete("doc", "order.nothing").alias("same"))
-    size = lambda p: F.size(F.from_json(C.json_get("cut", p), "array<string>")).cast("long")
-    out = d.select("o_orderkey", size("lines").alias("rest"), C.json_get_typed("cut", "lines[0].part", "long", -1).alias("now_first"), size("lines{flag}").alias("flags"), (F.col("same") == F.col("doc")).alias("kept"))
-    return out.where("rest >= 1").withColumn("flags", F.col("flags").cast("int"))
+    cut = C.json_apply("doc", [("delete", "lines[0]"), ("delete", "lines{flag}")])
+    d = order_docs(spark, sf_dir).select("o_orderkey", cut.alias("cut"), (C.json_delete("doc", "order.nothing") == F.col("doc")).alias("kept"))
+    got = C.json_get_all("cut", {"lines": ("lines", "string"), "first": ("lines[0].part", "long"), "flags": ("lines{flag}", "string")})
+    n = lambda c: F.size(F.from_json(c, "array<string>"))
+    d = d.select("o_orderkey", got.alias("g"), "kept").select("o_orderkey", n("g.lines").cast("long").alias("rest"), F.coalesce("g.first", F.lit(-1)).alias("now_first"), n("g.flags").alias("flags"), "kept")
+    return d.where("rest >= 1")
 
 
 @query("json_delete_slice", f"WITH {_LINES} SELECT o_orderkey, len(l) - 2 AS rest, coalesce(l[3].part, -1) AS now_first FROM o WHERE len(l) >= 2")

@@ -64,6 +64,13 @@ def test_change_columns(docs):
     assert one(docs, C.json_set("doc", "a.b", F.col("id")))[0][0] == '{"a":{"b":0},"l":[1,2,3]}'
 
 
+def test_changes_in_one_parse(docs):
+    changes = [("set", "x", {"y": 1}), ("delete", "a"), ("set", "l[+]", 9)]
+    assert one(docs, C.json_apply("doc", changes))[0][0] == '{"l":[1,2,3,9],"x":{"y":1}}'
+    assert [r[0] for r in one(docs, C.json_apply("doc", changes))][1:4] == DOCS[1:4]
+    assert one(docs, C.json_apply("doc", changes, DEFAULT.but(continue_on_error=True)))[1][0] == '{"x":{"y":1}}'
+
+
 def test_encoding(docs):
     e = EncodeConfig(escape_html=True, escape_slash=True, escape_unicode=True)
     text = values.dumps({"k": "</a>\u00e9\n"}, e)
