@@ -86,7 +86,7 @@ def mix(
     seed: int = 1,
     shard_docs: int = SHARD_DOCS,
     text: str = "text",
-    carry: Sequence[str] = (),
+    whole: bool = False,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, source_quota, shard, taken) for every row of docs.
 
@@ -97,9 +97,11 @@ def mix(
 
     Null texts have size 0, and null sources are a source. Rows with a null doc_id and rows of equal doc_id share a shard and
     stand in the order of their size. A hot source has the more shards, so no window holds more than about shard_docs rows.
-    Reruns agree. An empty table gives an empty table. Columns named in `carry` come along; their order and values don't matter.
+    Reruns agree. An empty table gives an empty table. whole: each row's own
+    columns come along as the struct `row`.
     """
-    base = cut(docs.select("doc_id", "source", *carry, size_of(text).alias("size")), "sizes")
+    row = [F.struct(*docs.columns).alias("row")] if whole else []
+    base = cut(docs.select("doc_id", "source", *row, size_of(text).alias("size")), "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     t = targets(sizes, weights).withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"))
     t = t.withColumn("_all", F.lit(0))
@@ -125,7 +127,7 @@ def mix(
     overlap = lambda a, b: F.greatest(F.least(F.col("_to"), b) - F.greatest(F.col("_from"), a), F.lit(0))
     first, wrapped = overlap(F.col("_start"), F.least(F.col("_end"), z)), overlap(F.lit(0), F.col("_end") - z)
     taken = F.col("_rounds") * F.col("size") + first + wrapped
-    return rows.select("doc_id", "source", *carry, "size", "source_size", "target", "source_quota", "shard", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", *["row"] * whole, "size", "source_size", "target", "source_quota", "shard", taken.cast("long").alias("taken"))
 
 
 def _small(df: DataFrame, most: int = 20_000) -> bool:
