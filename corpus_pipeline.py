@@ -9,10 +9,17 @@ from docloom.llm import bpe, mixing, simhash, substrings, toxicity
 from docloom.llm.common import cut
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """docs with columns of an operator's own names renamed, and what selects the columns of docs again."""
+    moved = {c: f"_own_{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(moved), [F.col(moved.get(c, c)).alias(c) for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model (learnt from the labels of these documents) doesn't predict to be toxic."""
     model = toxicity.train_from_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_documents(docs, model).where("predicted = 0").select(*docs.columns)
+    rows, back = _aside(docs, "score", "predicted")
+    return toxicity.score_documents(rows, model).where("predicted = 0").select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,16 +30,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what a document of a smaller doc_id has; n_chars follows. Documents of which nothing is left stay, empty."""
-    found = substrings.cut_repeats(docs, in_place=True)
-    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+    rows, back = _aside(docs, "kept", "n_bytes", "n_removed", "spans")
+    found = substrings.cut_repeats(rows, in_place=True)
+    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")).select(*back)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: the words taken over its size, rounded, so that documents stay whole. Only
     the documents at the two ends of a shard's run are taken in part. Documents without words have no part in a mix."""
-    taken = mixing.mix(docs, carry=[c for c in docs.columns if c not in ("doc_id", "source")])
+    taken = mixing.mix(docs, whole=True)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    return taken.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return taken.withColumn("_times", times).where("_times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
