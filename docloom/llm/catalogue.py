@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.ORACLE, "op5_mix": mixing.ORACLE, "op6_topk": topk.ORACLE, "op8_licenses": licenses.ORACLE}
+    return {"op2_substrings": substrings.ORACLE, "op4_chat": chat.ORACLE, "op5_mix": mixing.ORACLE, "op6_topk": topk.ORACLE, "op8_licenses": licenses.ORACLE}

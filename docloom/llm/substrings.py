@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import gram_hashes, n_parts, sliding_min
+from docloom.llm.common import gram_hashes, mix64, n_parts, release, sliding_min
 
 #: Bytes of a string, and of the grams that anchor it.
 LENGTH, GRAM = 50, 24
@@ -42,6 +42,8 @@ SHALLOW = 24
 AT_ONCE = 30_000
 #: Bits of an anchor's hash that are kept.
 HASH_BITS = 48
+#: Kinds of replies from buckets to blocks.
+SHARED, GONE = 0, 1
 
 
 def to_bytes(text: str | None) -> np.ndarray:
@@ -63,7 +65,7 @@ def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     if not found:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
     p, first, last = (np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
-    return p, first, last, h[p] >> np.uint64(64 - HASH_BITS)
+    return p, first, last, mix64(h[p]) >> np.uint64(64 - HASH_BITS)  # mixed anew: anchors were chosen for small hashes
 
 
 def contexts(b: np.ndarray, p: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -79,14 +81,27 @@ def contexts(b: np.ndarray, p: np.ndarray, first: np.ndarray, last: np.ndarray)
 _MULT = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 5) & 0xFFFFFFFFFFFFFFFF | 1 for i in range(ROW // 8)], np.uint64)
 
 
+def strings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts taken apart: a context for each of their strings, and which one it is of."""
+    back = np.arange(GRAMS)
+    of, k = np.nonzero((back >= rows[:, CONTEXT][:, None]) & (back <= rows[:, CONTEXT + 1][:, None]))
+    out, at = rows[of].copy(), np.arange(CONTEXT)
+    out[:, :CONTEXT][(at < (LEFT - k)[:, None]) | (at >= (LEFT - k + LENGTH)[:, None])] = 0
+    out[:, CONTEXT] = out[:, CONTEXT + 1] = k
+    return out, of
+
+
+def row_keys(rows: np.ndarray) -> np.ndarray:
+    return (rows.view(np.uint64) * _MULT).sum(axis=1, dtype=np.uint64)
+
+
 def distinct_rows(rows: np.ndarray, *before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order of rows in which equal ones stand together, and where a new one begins. `before`: keys that come first.
 
     Rows are ordered by a hash and compared in full; should two differ under one hash, a row may show up as new twice,
     which repeats work and changes nothing.
     """
-    words = rows.view(np.uint64)
-    key = (words * _MULT).sum(axis=1, dtype=np.uint64)
+    words, key = rows.view(np.uint64), row_keys(rows)
     key ^= key >> np.uint64(29)
     order = np.lexsort((key, *before))
     if not len(order):
@@ -197,25 +212,20 @@ def suffix_classes(text: np.ndarray, starts: np.ndarray, depth: int = LENGTH, sh
     return order, number
 
 
-def earliest(rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For distinct contexts and their smallest doc_ids: the smallest doc_id of each of their strings, as a matrix by distance before the anchor.
-
-    Contexts alone with their gram need no comparison.
+def earliest(rows: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For distinct contexts and their smallest doc_ids, piece by piece: numbers of contexts, and the smallest doc_id of each of
+    their strings, as a matrix by distance before the anchor. Contexts alone with their gram need no comparison and don't appear.
     """
-    least = np.repeat(doc[:, None], GRAMS, axis=1)
     gram = np.ascontiguousarray(rows[:, LEFT : LEFT + GRAM]).view(">u8")
     order = np.lexsort((gram[:, 2], gram[:, 1], gram[:, 0]))
     g = gram[order]
-    new = np.append(True, (g[1:] != g[:-1]).any(axis=1)) if len(g) else np.empty(0, bool)
-    head = np.flatnonzero(new)
+    head = np.flatnonzero(np.append(True, (g[1:] != g[:-1]).any(axis=1))) if len(g) else np.empty(0, np.int64)
     size = np.diff(np.append(head, len(g)))
     several = np.flatnonzero(size > 1)
-    upto = np.cumsum(size[several])
-    back = np.arange(GRAMS)
-    at = 0
+    upto, back, at = np.cumsum(size[several]), np.arange(GRAMS), 0
     while at < len(several):  # whole grams, about AT_ONCE contexts
         end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + AT_ONCE, side="right")))
-        some = np.concatenate([order[head[g] : head[g] + size[g]] for g in several[at:end].tolist()])
+        some = np.concatenate([order[head[k] : head[k] + size[k]] for k in several[at:end].tolist()])
         at = end
         row, k = np.nonzero((back >= rows[some, CONTEXT][:, None]) & (back <= rows[some, CONTEXT + 1][:, None]))
         _, number = suffix_classes(rows[some].reshape(-1), row * ROW + LEFT - k)
@@ -224,8 +234,9 @@ def earliest(rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
         first = np.flatnonzero(np.append(True, number[by][1:] != number[by][:-1]))
         low = np.empty(len(first), np.int64)
         low[number[by][first]] = owner[by][first]
-        least[some[row], k] = low[number]
-    return least
+        least = np.repeat(doc[some][:, None], GRAMS, axis=1)
+        least[row, k] = low[number]
+        yield some, least
 
 
 # ---- blocks and buckets
@@ -251,6 +262,14 @@ def _unplaned(b: bytes) -> np.ndarray:
     return np.cumsum(out.view("<u8").reshape(-1), dtype=np.uint64)
 
 
+def _surroundings(b: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """A hash of the CONTEXT bytes around each place, 0 where a text's end is too near."""
+    h = gram_hashes(b, CONTEXT)
+    at = p - LEFT
+    inside = (at >= 0) & (at < len(h))
+    return np.where(inside, h[np.clip(at, 0, max(0, len(h) - 1))], np.uint64(0)) if len(h) else np.zeros(len(p), np.uint64)
+
+
 def _limits(n_buckets: int) -> np.ndarray:
     """Where buckets of hashes begin; the last one's end, too."""
     return np.array([(i << HASH_BITS) // n_buckets for i in range(n_buckets + 1)], np.uint64)
@@ -259,40 +278,65 @@ def _limits(n_buckets: int) -> np.ndarray:
 class _Block:
     """The documents of a block, their anchors, and the block's distinct hashes by bucket."""
 
-    def __init__(self, table: pa.Table, text: str, n_buckets: int) -> None:
+    def __init__(self, table: pa.Table, text: str, n_buckets: int, census: bool = False) -> None:
         self.ids, self.bytes = table.column("doc_id").to_pylist(), [to_bytes(t) for t in table.column(text).to_pylist()]
         self.limits = _limits(n_buckets)
         self.anchors = [None if i is None else anchors(b) for i, b in zip(self.ids, self.bytes, strict=True)]
-        own = [(i, np.unique(a[3])) for i, a in zip(self.ids, self.anchors, strict=True) if a is not None]
-        every = np.concatenate([np.empty(0, np.uint64), *(x for _, x in own)])
-        of = np.repeat(np.array([i for i, _ in own], np.int64), [len(x) for _, x in own])
+        if census:
+            self._count()
+        else:
+            self.hashes = np.unique(np.concatenate([np.empty(0, np.uint64), *(a[3] for a in self.anchors if a is not None)]))
+        self.cuts = np.searchsorted(self.hashes, self.limits)
+
+    def _count(self) -> None:
+        """Distinct hashes, and which of them are in documents of different ids (several) or have different surroundings (varied)."""
+        own = [(i, *np.unique(a[3], return_index=True), a, b) for i, a, b in zip(self.ids, self.anchors, self.bytes, strict=True) if a is not None]
+        every = np.concatenate([np.empty(0, np.uint64), *(x[1] for x in own)])
+        of = np.repeat(np.array([x[0] for x in own], np.int64), [len(x[1]) for x in own])
         order = np.lexsort((of, every))
         every, of = every[order], of[order]
         head = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
-        self.hashes = every[head]
-        self.several = of[head] != of[np.append(head[1:], len(every)) - 1] if len(head) else np.empty(0, bool)  # in documents of different ids
-        self.cuts = np.searchsorted(self.hashes, self.limits)
-
-    def shared(self, buckets: list[int], bits: list[bytes]) -> np.ndarray:
-        """The block's hashes that the buckets' bits say other documents have too."""
-        keep = np.zeros(len(self.hashes), bool)
-        for k, x in zip(buckets, bits, strict=True):
-            a, z = self.cuts[k], self.cuts[k + 1]
-            keep[a:z] = np.unpackbits(np.frombuffer(x, np.uint8), count=z - a).astype(bool)
-        return self.hashes[keep]
-
-    def contexts(self, shared: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Distinct contexts of shared anchors by hash: rows, smallest doc_ids, ends of buckets; then for each such anchor, by
-        document, its context's number, its doc_id, its document and its place among the document's anchors."""
+        self.hashes, self.several, self.varied = every[head], np.zeros(len(head), bool), np.zeros(len(head), bool)
+        if len(head):
+            near = np.concatenate([_surroundings(b, a[0][at]) for _, _, at, a, b in own])[order]
+            self.several = of[head] != of[np.append(head[1:], len(every)) - 1]
+            self.varied = np.minimum.reduceat(near, head) != np.maximum.reduceat(near, head)
+
+    def shared(self, kinds: list[int], buckets: list[int], bits: list[bytes], more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The block's hashes that the buckets' bits say other documents have too, and which of these have ever other surroundings."""
+        marks = np.zeros((2, len(self.hashes)), bool)
+        for kind, k, *both in zip(kinds, buckets, bits, more, strict=True):
+            if kind == SHARED:
+                a, z = self.cuts[k], self.cuts[k + 1]
+                for row, x in zip(marks, both, strict=True):
+                    row[a:z] = np.unpackbits(np.frombuffer(x, np.uint8), count=z - a).astype(bool)
+        return self.hashes[marks[0]], marks[1][marks[0]]
+
+    def contexts(self, shared: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distinct contexts of shared anchors by hash: rows, smallest doc_ids, ends of buckets; then for each found context, by
+        document, its number, its doc_id, its document and its anchor's place among the document's anchors.
+
+        Contexts of anchors that have different surroundings in three quarters of the blocks are taken apart: each string goes by
+        its own hash, so the many contexts of a common phrase don't meet in one bucket, while their equal strings still do.
+        """
         rows, hashes, docs, which, nth = [np.empty((0, ROW), np.uint8)], [np.empty(0, np.uint64)], *([np.empty(0, np.int64)] for _ in range(3))
-        for k, (i, b, a) in enumerate(zip(self.ids, self.bytes, self.anchors, strict=True)):
+
+        def add(k: int, found: np.ndarray, keys: np.ndarray, places: np.ndarray) -> None:
+            rows.append(found), hashes.append(keys), nth.append(places)
+            docs.append(np.full(len(found), self.ids[k], np.int64)), which.append(np.full(len(found), k))
+
+        for k, (b, a) in enumerate(zip(self.bytes, self.anchors, strict=True)):
             if a is None or not len(a[0]) or not len(shared):
                 continue
             at = np.minimum(np.searchsorted(shared, a[3]), len(shared) - 1)
             keep = np.flatnonzero(shared[at] == a[3])
             if len(keep):
-                rows.append(contexts(b, a[0][keep], a[1][keep], a[2][keep])), hashes.append(a[3][keep])
-                docs.append(np.full(len(keep), i, np.int64)), which.append(np.full(len(keep), k)), nth.append(keep)
+                found, apart = contexts(b, a[0][keep], a[1][keep], a[2][keep]), frequent[at[keep]]
+                if apart.any():
+                    single, of = strings(found[apart])
+                    add(k, single, mix64(row_keys(single)) >> np.uint64(64 - HASH_BITS), keep[apart][of])
+                    found, keep = found[~apart], keep[~apart]
+                add(k, found, a[3][keep], keep)
         rows, hashes, docs, which, nth = map(np.concatenate, (rows, hashes, docs, which, nth))
         order, new = distinct_rows(rows, hashes)
         head, number = np.flatnonzero(new), np.empty(len(rows), np.int64)
@@ -303,10 +347,8 @@ class _Block:
 
 def _removed(n: int, starts: np.ndarray) -> np.ndarray:
     """Which of n bytes the strings at `starts` cover."""
-    change = np.zeros(n + LENGTH + 1, np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + LENGTH, -1)
-    return np.cumsum(change[:n]) > 0
+    change = np.bincount(starts, minlength=n)[:n] - np.bincount(starts + LENGTH, minlength=n)[:n]
+    return np.cumsum(change) > 0
 
 
 def cut_repeats(docs: DataFrame, text: str = "text", blocks: int | None = None, buckets: int | None = None, in_place: bool = False) -> DataFrame:
@@ -320,64 +362,75 @@ def cut_repeats(docs: DataFrame, text: str = "text", blocks: int | None = None,
 
     in_place: what is left also takes the text's place, without the parts of characters that were cut in two.
 
-    Copies in a block, however many, are one context; a bucket has one row from each block. blocks and buckets (2 and 4 times
-    the shuffle partitions) must grow with the input so that each fits a worker's memory.
+    Copies in a block, however many, are one context; a bucket has one row from each block. Anchors with different surroundings in
+    three quarters of the blocks go by their strings, not their contexts, so a common phrase in ever other places is spread over all buckets.
+    blocks and buckets (twice and once the shuffle partitions) must grow with the input so that each fits a worker's memory.
     """
     parts = n_parts(docs.sparkSession)
-    n_blocks, n_buckets = blocks or 2 * parts, buckets or 4 * parts
+    n_blocks, n_buckets = blocks or 2 * parts, buckets or parts
     docs = docs.drop("kept", "n_bytes", "n_removed", "spans", "_block")
     by = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64("doc_id"))
     dealt = docs.withColumn("_block", F.pmod(by, F.lit(n_blocks)).cast("int")).repartition(parts, "_block")
     lists = lambda table, *names: [table.column(x).to_pylist() for x in names]
     table = lambda types, *columns: pa.table([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
-    hashed = {"bucket": pa.int32(), "block": pa.int32(), "hashes": pa.binary(), "several": pa.binary()}
-    masked = {"_block": pa.int32(), "bucket": pa.int32(), "kind": pa.int32(), "bits": pa.binary()}
+    hashed = {"bucket": pa.int32(), "block": pa.int32(), "hashes": pa.binary(), "several": pa.binary(), "varied": pa.binary()}
+    masked = {"_block": pa.int32(), "bucket": pa.int32(), "kind": pa.int32(), "bits": pa.binary(), "more": pa.binary()}
     sent_as = {"bucket": pa.int32(), "block": pa.int32(), "rows": pa.binary(), "least": pa.binary()}
 
     def send_hashes(key: tuple[pa.Scalar, ...], left: pa.Table) -> pa.Table:
-        block = _Block(left, text, n_buckets)
+        release()
+        block = _Block(left, text, n_buckets, census=True)
         ends = [(k, block.cuts[k], block.cuts[k + 1]) for k in np.flatnonzero(np.diff(block.cuts)).tolist()]
-        return table(hashed, [k for k, _, _ in ends], [key[0].as_py()] * len(ends), [_planes(block.hashes[a:z]) for _, a, z in ends], [np.packbits(block.several[a:z]).tobytes() for _, a, z in ends])
+        return table(hashed, [k for k, _, _ in ends], [key[0].as_py()] * len(ends), [_planes(block.hashes[a:z]) for _, a, z in ends], *([np.packbits(x[a:z]).tobytes() for _, a, z in ends] for x in (block.several, block.varied)))
 
     def find_shared(sent: pa.Table) -> pa.Table:
-        blocks_, buckets_, hashes, several = lists(sent, "block", "bucket", "hashes", "several")
+        blocks_, buckets_, hashes, *flags = lists(sent, "block", "bucket", "hashes", "several", "varied")
         each = [_unplaned(x) for x in hashes]
-        marked = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(x)) for s, x in zip(several, each, strict=True)]).astype(bool)
+        several, varied = (np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(x)) for f, x in zip(flag, each, strict=True)]).astype(bool) for flag in flags)
         _, back, n = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-        multi = n > 1
-        multi[back[marked]] = True
-        bits = np.split(multi[back], np.cumsum([len(x) for x in each])[:-1])
-        return table(masked, blocks_, buckets_, [0] * len(bits), [np.packbits(x).tobytes() for x in bits])
+        multi, many = n > 1, np.bincount(back[varied], minlength=len(n)) > 3 * n_blocks // 4
+        multi[back[several]] = True
+        ends = np.cumsum([len(x) for x in each])[:-1]
+        bits = ([np.packbits(x).tobytes() for x in np.split(kind[back], ends)] for kind in (multi, many))
+        return table(masked, blocks_, buckets_, [SHARED] * len(each), *bits)
 
     def send_contexts(key: tuple[pa.Scalar, ...], left: pa.Table, masks: pa.Table) -> pa.Table:
         if not left.num_rows or not masks.num_rows:
             return table(sent_as, [], [], [], [])
+        release()
         block = _Block(left, text, n_buckets)
-        rows, least, ends, *_ = block.contexts(block.shared(*lists(masks, "bucket", "bits")))
+        rows, least, ends, *_ = block.contexts(*block.shared(*lists(masks, "kind", "bucket", "bits", "more")))
         some = np.flatnonzero(np.diff(ends)).tolist()
         return table(sent_as, some, [key[0].as_py()] * len(some), *([_squeeze(x[ends[k] : ends[k + 1]]) for k in some] for x in (rows, least)))
 
     def sort_suffixes(sent: pa.Table) -> pa.Table:
+        release()
         blocks_, buckets_, packed, owners = lists(sent, "block", "bucket", "rows", "least")
         each = [_loosen(x, np.uint8).reshape(-1, ROW) for x in packed]
         rows, doc = np.concatenate(each), np.concatenate([_loosen(x, "<i8") for x in owners])
         order, new = distinct_rows(rows)
         head, number = np.flatnonzero(new), np.empty(len(rows), np.int64)
         number[order] = np.cumsum(new) - 1
-        least = earliest(rows[order[head]], np.minimum.reduceat(doc[order], head))
-        gone = np.zeros(len(rows), np.uint32)
-        for k in range(GRAMS):
-            gone |= (least[number, k] < doc).astype(np.uint32) << np.uint32(k)
-        return table(masked, blocks_, buckets_, [1] * len(each), [_squeeze(x) for x in np.split(gone, np.cumsum([len(x) for x in each])[:-1])])
+        own = np.minimum.reduceat(doc[order], head)
+        gone = np.where(own[number] < doc, np.uint32((1 << GRAMS) - 1), np.uint32(0))
+        ends = np.append(head, len(order))
+        for some, least in earliest(rows[order[head]], own):
+            n = ends[some + 1] - ends[some]
+            at = order[np.repeat(ends[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]  # the rows of these contexts
+            lower = np.repeat(least, n, axis=0) < doc[at][:, None]
+            gone[at] |= (lower @ (1 << np.arange(GRAMS, dtype=np.int64))).astype(np.uint32)
+        bits = [_squeeze(x) for x in np.split(gone, np.cumsum([len(x) for x in each])[:-1])]
+        return table(masked, blocks_, buckets_, [GONE] * len(each), bits, [None] * len(each))
 
     def cut_bytes(left: pa.Table, replies: pa.Table) -> pa.Table:
+        release()
         block, back = _Block(left, text, n_buckets), np.arange(GRAMS)
-        kinds, buckets_, bits = lists(replies, "kind", "bucket", "bits")
-        of = lambda kind: [[x for x, y in zip(c, kinds, strict=True) if y == kind] for c in (buckets_, bits)]
-        rows, least, ends, number, docs_, which, nth = block.contexts(block.shared(*of(0)))
+        kinds, buckets_, bits, more = lists(replies, "kind", "bucket", "bits", "more")
+        rows, least, ends, number, docs_, which, nth = block.contexts(*block.shared(kinds, buckets_, bits, more))
         marks = np.zeros(len(rows), np.int64)
-        for k, x in zip(*of(1), strict=True):
-            marks[ends[k] : ends[k + 1]] = _loosen(x, "<u4")
+        for kind, k, x in zip(kinds, buckets_, bits, strict=True):
+            if kind == GONE:
+                marks[ends[k] : ends[k + 1]] = _loosen(x, "<u4")
         # later documents of the block lose every string of a context that an earlier one has; the first what other blocks have
         mine = np.where(docs_ > least[number], (1 << GRAMS) - 1, marks[number]) if len(number) else number
         bounds = np.searchsorted(which, np.arange(len(block.bytes) + 1))
@@ -387,9 +440,9 @@ def cut_repeats(docs: DataFrame, text: str = "text", blocks: int | None = None,
             if a == z or not mine[a:z].any():
                 kept.append(b.tobytes()), removed.append(0), spans.append([])
                 continue
-            p, first, last = (x[nth[a:z]][:, None] for x in block.anchors[k][:3])
-            start = p - back
-            gone = _removed(len(b), start[((mine[a:z][:, None] >> back) & 1).astype(bool) & (start >= first) & (start <= last)])
+            start = block.anchors[k][0][nth[a:z]][:, None] - back
+            least_back, most_back = (rows[number[a:z], CONTEXT + i][:, None] for i in (0, 1))
+            gone = _removed(len(b), start[((mine[a:z][:, None] >> back) & 1).astype(bool) & (back >= least_back) & (back <= most_back)])
             edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
             kept.append(b[~gone].tobytes()), removed.append(int(gone.sum()))
             spans.append([{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)])
@@ -402,8 +455,8 @@ def cut_repeats(docs: DataFrame, text: str = "text", blocks: int | None = None,
             left = left.append_column(name, pa.array(column, kind))
         return left
 
-    hashes = dealt.groupBy("_block").applyInArrow(send_hashes, "bucket int, block int, hashes binary, several binary")
-    replies = "_block int, bucket int, kind int, bits binary"
+    hashes = dealt.groupBy("_block").applyInArrow(send_hashes, "bucket int, block int, hashes binary, several binary, varied binary")
+    replies = "_block int, bucket int, kind int, bits binary, more binary"
     masks = hashes.groupBy("bucket").applyInArrow(find_shared, replies)
     sent = dealt.groupBy("_block").cogroup(masks.groupBy("_block")).applyInArrow(send_contexts, "bucket int, block int, rows binary, least binary")
     gone = sent.groupBy("bucket").applyInArrow(sort_suffixes, replies)
@@ -414,3 +467,21 @@ def cut_repeats(docs: DataFrame, text: str = "text", blocks: int | None = None,
 def op2_substrings(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = cut_repeats(docs.select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same over every string of every text, as hexadecimal digits.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT r, doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM d, LATERAL unnest(range(0, n - 49)) AS u(i) WHERE n >= 50),
+f AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
+g AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) > 50 AS apart FROM w JOIN f USING (s) WHERE first_id < doc_id),
+k AS (SELECT r, i, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
+c AS (SELECT r, run, min(i) AS a, max(i) + 50 AS z FROM k GROUP BY r, run),
+p AS (SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM c),
+m AS (
+  SELECT r, sum(z - a) AS removed, count(*) AS spans, max(z) AS last, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE kept || substring(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN m USING (r)
+"""
