@@ -42,6 +42,8 @@ SHALLOW = 24
 AT_ONCE = 30_000
 #: Bits of an anchor's hash that are kept.
 HASH_BITS = 48
+#: An anchor is hot if the documents with it, where it has different surroundings, are more than this part of its bucket's anchors.
+HOT_SHARE = 16
 #: Kinds of replies from buckets to blocks.
 SHARED, GONE = 0, 1
 
@@ -289,21 +291,24 @@ class _Block:
         self.cuts = np.searchsorted(self.hashes, self.limits)
 
     def _count(self) -> None:
-        """Distinct hashes, and which of them are in documents of different ids (several) or have different surroundings (varied)."""
+        """Distinct hashes, which of them are in documents of different ids (several), and the number of documents with those
+        that have different surroundings (varied, else 0)."""
         own = [(i, *np.unique(a[3], return_index=True), a, b) for i, a, b in zip(self.ids, self.anchors, self.bytes, strict=True) if a is not None]
         every = np.concatenate([np.empty(0, np.uint64), *(x[1] for x in own)])
         of = np.repeat(np.array([x[0] for x in own], np.int64), [len(x[1]) for x in own])
         order = np.lexsort((of, every))
         every, of = every[order], of[order]
         head = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
-        self.hashes, self.several, self.varied = every[head], np.zeros(len(head), bool), np.zeros(len(head), bool)
+        self.hashes, self.several, self.varied = every[head], np.zeros(len(head), bool), np.zeros(len(head), np.uint16)
         if len(head):
             near = np.concatenate([_surroundings(b, a[0][at]) for _, _, at, a, b in own])[order]
-            self.several = of[head] != of[np.append(head[1:], len(every)) - 1]
-            self.varied = np.minimum.reduceat(near, head) != np.maximum.reduceat(near, head)
+            ends = np.append(head[1:], len(every))
+            self.several = of[head] != of[ends - 1]
+            differ = np.minimum.reduceat(near, head) != np.maximum.reduceat(near, head)
+            self.varied = np.where(differ, np.minimum(ends - head, 65_535), 0).astype(np.uint16)
 
     def shared(self, kinds: list[int], buckets: list[int], bits: list[bytes], more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The block's hashes that the buckets' bits say other documents have too, and which of these have ever other surroundings."""
+        """The block's hashes that the buckets' bits say other documents have too, and which of these are hot."""
         marks = np.zeros((2, len(self.hashes)), bool)
         for kind, k, *both in zip(kinds, buckets, bits, more, strict=True):
             if kind == SHARED:
@@ -312,12 +317,12 @@ class _Block:
                     row[a:z] = np.unpackbits(np.frombuffer(x, np.uint8), count=z - a).astype(bool)
         return self.hashes[marks[0]], marks[1][marks[0]]
 
-    def contexts(self, shared: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
+    def contexts(self, shared: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
         """Distinct contexts of shared anchors by hash: rows, smallest doc_ids, ends of buckets; then for each found context, by
         document, its number, its doc_id, its document and its anchor's place among the document's anchors.
 
-        Contexts of anchors that have different surroundings in three quarters of the blocks are taken apart: each string goes by
-        its own hash, so the many contexts of a common phrase don't meet in one bucket, while their equal strings still do.
+        Contexts of hot anchors are taken apart: each string goes by its own hash, so the many contexts of a common phrase don't
+        meet in one bucket, while their equal strings still do.
         """
         rows, hashes, docs, which, nth = [np.empty((0, ROW), np.uint8)], [np.empty(0, np.uint64)], *([np.empty(0, np.int64)] for _ in range(3))
 
@@ -331,7 +336,7 @@ class _Block:
             at = np.minimum(np.searchsorted(shared, a[3]), len(shared) - 1)
             keep = np.flatnonzero(shared[at] == a[3])
             if len(keep):
-                found, apart = contexts(b, a[0][keep], a[1][keep], a[2][keep]), frequent[at[keep]]
+                found, apart = contexts(b, a[0][keep], a[1][keep], a[2][keep]), hot[at[keep]]
                 if apart.any():
                     single, of = strings(found[apart])
                     add(k, single, mix64(row_keys(single)) >> np.uint64(64 - HASH_BITS), keep[apart][of])
@@ -362,8 +367,8 @@ def cut_repeats(docs: DataFrame, text: str = "text", blocks: int | None = None,
 
     in_place: what is left also takes the text's place, without the parts of characters that were cut in two.
 
-    Copies in a block, however many, are one context; a bucket has one row from each block. Anchors with different surroundings in
-    three quarters of the blocks go by their strings, not their contexts, so a common phrase in ever other places is spread over all buckets.
+    Copies in a block, however many, are one context; a bucket has one row from each block. Hot anchors
+    (HOT_SHARE) go by their strings, not their contexts, so a common phrase in ever other places is spread over all buckets.
     blocks and buckets (twice and once the shuffle partitions) must grow with the input so that each fits a worker's memory.
     """
     parts = n_parts(docs.sparkSession)
@@ -381,14 +386,15 @@ def cut_repeats(docs: DataFrame, text: str = "text", blocks: int | None = None,
         release()
         block = _Block(left, text, n_buckets, census=True)
         ends = [(k, block.cuts[k], block.cuts[k + 1]) for k in np.flatnonzero(np.diff(block.cuts)).tolist()]
-        return table(hashed, [k for k, _, _ in ends], [key[0].as_py()] * len(ends), [_planes(block.hashes[a:z]) for _, a, z in ends], *([np.packbits(x[a:z]).tobytes() for _, a, z in ends] for x in (block.several, block.varied)))
+        return table(hashed, [k for k, _, _ in ends], [key[0].as_py()] * len(ends), [_planes(block.hashes[a:z]) for _, a, z in ends], [np.packbits(block.several[a:z]).tobytes() for _, a, z in ends], [_squeeze(block.varied[a:z]) for _, a, z in ends])
 
     def find_shared(sent: pa.Table) -> pa.Table:
-        blocks_, buckets_, hashes, *flags = lists(sent, "block", "bucket", "hashes", "several", "varied")
+        blocks_, buckets_, hashes, flags, counts = lists(sent, "block", "bucket", "hashes", "several", "varied")
         each = [_unplaned(x) for x in hashes]
-        several, varied = (np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(x)) for f, x in zip(flag, each, strict=True)]).astype(bool) for flag in flags)
+        several = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(x)) for f, x in zip(flags, each, strict=True)]).astype(bool)
         _, back, n = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-        multi, many = n > 1, np.bincount(back[varied], minlength=len(n)) > 3 * n_blocks // 4
+        load = np.bincount(back, np.concatenate([_loosen(c, "<u2") for c in counts]), len(n))
+        multi, many = n > 1, load > max(8, len(back) // HOT_SHARE)
         multi[back[several]] = True
         ends = np.cumsum([len(x) for x in each])[:-1]
         bits = ([np.packbits(x).tobytes() for x in np.split(kind[back], ends)] for kind in (multi, many))

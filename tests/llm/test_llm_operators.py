@@ -143,6 +143,30 @@ def test_op2_against_brute_force(spark):
     assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == slow_cut(rows)
 
 
+def test_op2_common_phrase_in_ever_other_places(spark):
+    r = random.Random(12)
+    letters = lambda n: "".join(r.choice("abcdefghijkl") for _ in range(n))
+    phrase = letters(70)
+    rows = [(i, letters(r.randrange(30, 60)) + phrase[r.randrange(8) : 70 - r.randrange(8)] + letters(r.randrange(30, 60))) for i in range(300)]
+    got = substrings.op2_substrings(spark, docs_of(spark, rows)).collect()
+    assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == slow_cut(rows)
+    assert sum(x.n_removed > 0 for x in got) > 290
+
+
+def test_strings_of_a_context():
+    b = np.frombuffer(bytes(r % 251 for r in range(300)), np.uint8)
+    p, first, last, _ = substrings.anchors(b)
+    rows = substrings.contexts(b, p, first, last)
+    single, of = substrings.strings(rows)
+    assert len(single) == len(b) - substrings.LENGTH + 1
+    back = single[:, substrings.CONTEXT].astype(int)
+    for row, k, a in zip(single, back, of):
+        at = p[a] - k
+        own = row[: substrings.CONTEXT].tobytes()
+        assert own[substrings.LEFT - k : substrings.LEFT - k + substrings.LENGTH] == b[at : at + substrings.LENGTH].tobytes()
+        assert not any(own[: substrings.LEFT - k]) and not any(own[substrings.LEFT - k + substrings.LENGTH :])
+
+
 def test_blind_trie_orders_and_groups():
     r = random.Random(4)
     values = [r.randrange(1 << 20) for _ in range(300)] + [7] * 5
