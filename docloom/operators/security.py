@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,7 +73,8 @@ def _minimal(words: tuple[str, ...]) -> list[str]:
 def is_sensitive(text: Column | str) -> Column:
     """Whether a document's text holds one of the sensitive parts, in names or values."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.lower(c).rlike("|".join(map(re.escape, _minimal(SENSITIVE))))
+    any_of = lambda t: reduce(or_, [t.contains(w) for w in _minimal(SENSITIVE)])
+    return F.exists(F.array(F.lower(c)), any_of)  # so that the lower case is made once
 
 
 def json_input_error(doc: Column | str, config: Config = DEFAULT) -> Column:
