@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, mixing, simhash, substrings, toxicity
+from docloom.llm import bpe, mixing, similar, substrings, toxicity
 from docloom.llm.common import cut
 
 
@@ -23,9 +23,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each SimHash component. Rows with a null doc_id can't be told apart; they stay."""
-    keep = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").unionAll(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each group that links of 5-word shingles with a likeness of 0.8 or more make: that of the smallest doc_id, then of
+    the smallest hash of the row. Rows of equal or null doc_id are told apart; a null doc_id comes last."""
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = rows.join(similar.groups(rows).withColumnRenamed("node", "_row"), "_row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "_row")
+    keep = found.groupBy("component").agg(F.min(order).alias("first")).select("first._row")
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("simhash near-dedup", drop_near_copies),
+    ("near-dedup", drop_near_copies),
     ("suffix-array dedup", cut_repeated_passages),
     ("source mixing", mix_sources),
     ("byte-level BPE", encode),
