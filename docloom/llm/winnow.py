@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from docloom.llm.common import gram_hashes, map_texts, n_parts, window_minima
 
-#: Characters of a gram and grams of a window: any common passage of K + W - 1 = 100 characters shares a fingerprint.
-K, W = 50, 51
+#: Characters of a gram and grams of a window: any common passage of K + W - 1 = 32 characters shares a fingerprint.
+K, W = 16, 17
 
 
 def code_points(text: str | None) -> np.ndarray:

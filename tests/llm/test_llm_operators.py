@@ -76,6 +76,12 @@ def test_winnow_finds_every_common_passage():
     assert set(winnow.winnow(winnow.code_points(a))[1]) & set(winnow.winnow(winnow.code_points(b))[1])
 
 
+def test_op1_short_texts_keep_likeness(spark):
+    r = random.Random(6)
+    rows = [(i, "".join(r.choice("abcdefghijklmnop ") for _ in range(64 + 3 * i))) for i in range(20)]
+    assert all(x.near_edited > 0 for x in winnow.op1_winnow(spark, docs_of(spark, rows)).collect())
+
+
 def test_op1_neighbours(spark):
     rows = odd_rows()
     got = winnow.op1_winnow(spark, docs_of(spark, rows, extra=True)).collect()
