@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group that links of 5-word shingles with a likeness of 0.8 or more make: that of the smallest doc_id, then of
-    the smallest hash of the row. Rows of equal or null doc_id are told apart; a null doc_id comes last."""
+    """One row of each group that links of 5-word shingles with a likeness of 0.8 or more make (found by SimHash and Golay keys,
+    verified exactly): that of the smallest doc_id, then of the smallest hash of the row. Rows of equal or null doc_id are told apart; a null doc_id comes last."""
     rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = rows.join(similar.groups(rows).withColumnRenamed("node", "_row"), "_row")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "_row")
@@ -58,7 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near-dedup", drop_near_copies),
+    ("SimHash near-dedup", drop_near_copies),
     ("suffix-array dedup", cut_repeated_passages),
     ("source mixing", mix_sources),
     ("byte-level BPE", encode),

@@ -1,30 +1,36 @@
-"""Groups of documents by exact likeness of their word shingles; MinHash bands only choose what is compared."""
+"""Groups of near copies: SimHash and fuzzy keys from the binary Golay code choose what is compared, exact likeness decides.
+
+The link of a few bits that simhash.near_duplicates has is too narrow for texts that share four shingles in five: they differ in
+about 15 of 100 bits. So fingerprints here are longer, and a segment of 23 bits decodes to the codewords nearest to the sums
+behind its bits (soft decision), two of 4,096. By the pigeonhole principle documents whose errors leave TAKE segments with a
+codeword in common share a key. Candidates whose fingerprints differ too much fall; the others are verified by their shingles.
+"""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations, product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import cut, map_texts, n_parts, words_of
+from docloom.llm.common import cut, map_texts, mix64, n_parts, words_of
 from docloom.llm.components import components
+from docloom.llm.simhash import _syndrome
 
 #: Words of a shingle, and the Jaccard likeness that links two documents.
 SHINGLE, LEAST = 5, 0.8
-#: Bands of so many MinHash values. Two documents of likeness 0.8 have no band in common with probability
-#: (1 - 0.8**7)**64 < 3e-7, likelier ones with less.
-BANDS, VALUES = 64, 7
-
-_rng = np.random.default_rng(17)
-_XOR, _TIMES = (_rng.integers(0, 2**32, (BANDS * VALUES, 1), np.uint32) for _ in range(2))
-_TIMES |= np.uint32(1)
+#: Segments of 23 bits, nearest codewords of each, and segments that make a key, for corpora up to so many distinct sets of
+#: shingles. Keys get longer with the corpus, so that unlike documents rarely meet in one; pairs of likeness 0.8 still do.
+SEGMENTS, NEAR, TAKE = 8, 2, 2
+LARGE, LARGE_SEGMENTS, LARGE_TAKE = 2**26, 12, 3
+#: Documents of a cell in which pairs are verified, and of a cell of a hot key, about.
+CELL, KEY_CELL = 256, 20_000
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -41,147 +47,271 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((h64(joined[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64))
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    """A key for each band; sets without shingles have none."""
-    if not len(s):
-        return np.empty(0, np.int64)
-    x, low = (s >> np.uint64(32)).astype(np.uint32), np.full(BANDS * VALUES, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(x), 512):
-        part = x[at : at + 512] ^ _XOR
-        part *= _TIMES
-        np.minimum(low, part.min(1), out=low)
-    low = low.reshape(BANDS, VALUES)
-    return np.array([xxhash.xxh64_intdigest(low[b].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
+def sums(s: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
+    """What SimHash adds up for each bit of a set: members with the bit less members without it."""
+    words = -(-23 * segments // 64)
+    out = np.zeros(64 * words, np.int64)
+    for k in range(words):
+        for at in range(0, len(s), 1 << 16):
+            h = mix64(s[at : at + (1 << 16)] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            out[64 * k : 64 * k + 64] += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return (2 * out - len(s))[: 23 * segments]
 
 
-def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= least * (len(a) + len(b) - both)
+@lru_cache(1)
+def _codewords() -> np.ndarray:
+    """The 4,096 codewords as columns of 1 and -1."""
+    x = np.arange(4096, dtype=np.int64) << 11
+    x |= _syndrome(x)
+    return (((x[:, None] >> np.arange(23)) & 1) * 2 - 1).astype(np.float32).T.copy()
 
 
-def links_of(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
-    """Pairs of likeness `least` or more that span the components under this likeness: fewer pairs than sets.
+def decode(z: np.ndarray, near: int = NEAR) -> np.ndarray:
+    """Rows of sums by segments: the indices of the `near` codewords of highest correlation in each segment, best first."""
+    segments = z.shape[1] // 23
+    out = np.empty((len(z), segments, near), "<u2")
+    rows = np.arange(len(z))
+    for k in range(segments):
+        like = z[:, 23 * k : 23 * k + 23].astype(np.float32) @ _codewords()
+        for j in range(near):
+            best = like.argmax(1)
+            out[:, k, j] = best
+            like[rows, best] = -np.inf
+    return out
+
+
+def keys_of(codes: np.ndarray, take: int = TAKE) -> np.ndarray:
+    """The keys of each row: `take` segments in every way, and of each segment every codeword in every way."""
+    found, (_, segments, near) = [], codes.shape
+    wide = codes.astype(np.int64)
+    for k, chosen in enumerate(combinations(range(segments), take)):
+        for nth in product(range(near), repeat=take):
+            key = np.full(len(codes), k, np.int64)
+            for s, j in zip(chosen, nth, strict=True):
+                key = key << 12 | wide[:, s, j]
+            found.append(key)
+    return np.stack(found, axis=1)
+
+
+def most_bits(segments: int, least: float) -> int:
+    """Differing bits of sets of likeness `least` that are exceeded with probability below 1e-6."""
+    p = np.arccos(2 * least / (1 + least)) / np.pi
+    n = 23 * segments
+    return int(np.ceil(n * p + 5 * np.sqrt(n * p * (1 - p))))
+
+
+def _near(fp: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, least: float) -> np.ndarray:
+    """Which pairs of rows a, b can be as like as `least` by their bits and sizes."""
+    bits = np.bitwise_count(fp[a] ^ fp[b]).sum(-1, dtype=np.int64)
+    return (bits <= most) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]))
+
+
+_PAIR = "u long, v long"
+
+
+def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.minimum(u, v), pa.int64()), pa.array(np.maximum(u, v), pa.int64())], names=["u", "v"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words."""
+    got = column.to_pylist()
+    return np.frombuffer(b"".join(got), "<u8").reshape(len(got), -1)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node) sorted by key: those whose key occurs twice or more. The last row of a batch waits for the next one."""
+    held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+
+    def out(key, node, ok):
+        return pa.record_batch([pa.array(key[ok], pa.int64()), pa.array(node[ok], pa.int64())], names=["key", "node"])
 
-    First, sets like one leader are linked with it, as long as leaders find many. Then each set meets those of other components
-    that share a shingle of its prefix: sets are as like as that only if the rarest (1 - least) of their shingles have one in
-    common. So what isn't compared is less alike or linked already.
-    """
-    n = len(sets)
-    if n == 2:
-        return [(0, 1)] if _alike(sets[0], sets[1], least) else []
-    found, size = [], np.fromiter(map(len, sets), np.int64, n)
-    names, flat, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(names), np.int64)
-    rank[np.argsort(times, kind="stable")] = np.arange(len(names))
-    flat, bound = rank[flat], np.append(0, np.cumsum(size))
-    own, label, rest = np.repeat(np.arange(n), size), np.arange(n), np.ones(n, bool)
-
-    def near(i: int) -> np.ndarray:
-        """The sets that are like set i, itself too."""
-        held = np.zeros(len(names), bool)
-        held[flat[bound[i] : bound[i + 1]]] = True
-        both = np.bincount(own[held[flat]], minlength=n)
-        return np.flatnonzero(both >= least * (size + size[i] - both))
-
-    while rest.any():
-        leader = int(np.argmax(rest))
-        those = near(leader)
-        those = those[rest[those]]
-        rest[those], label[those] = False, leader
-        found += [(leader, i) for i in those.tolist() if i != leader]
-        if 16 * len(those) < rest.sum():
-            break
-    top = {i: i for i in range(n)}
-
-    def find(a: int) -> int:
-        while top[a] != a:
-            top[a] = top[top[a]]
-            a = top[a]
-        return a
-
-    def link(i: int, j: int) -> None:
-        a, b = sorted((find(int(label[i])), find(int(label[j]))))
-        if a != b:
-            top[b] = a
-            found.append((i, j))
-
-    posting: dict[int, dict[int, list[int]]] = defaultdict(dict)  # shingle: label: sets
-    for i in range(n):
-        mine, ranks = int(label[i]), np.sort(flat[bound[i] : bound[i + 1]])
-        prefix = ranks[: len(ranks) - int(np.ceil(least * len(ranks) - 1e-9)) + 1].tolist()
-        if sum(len(posting[x]) for x in prefix) > 2_000:  # labels; so many are compared at once
-            for j in near(i).tolist():
-                link(i, j)
-        else:
-            others = {j for x in prefix for k, those in posting[x].items() if k != mine for j in those}
-            for j in sorted(others) if len(others) <= 500 else near(i).tolist():
-                if find(int(label[j])) != find(mine) and _alike(sets[i], sets[j], least):
-                    link(i, j)
-        for x in prefix:
-            posting[x].setdefault(mine, []).append(i)
-    return found
-
-
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: each with the one before it if their keys are equal."""
-    key, node = np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
-        key, node = np.append(key[-1:], batch.column(0).to_numpy()), np.append(node[-1:], batch.column(1).to_numpy())
-        same = np.flatnonzero((key[1:] == key[:-1]) & (node[1:] != node[:-1]))
-        yield pa.record_batch([pa.array(node[same], pa.int64()), pa.array(node[same + 1], pa.int64())], names=["u", "v"])
-
-
-def _verified(shingle: int, least: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, nodes, sets = None, [], []
-
-        def pairs() -> pd.DataFrame:
-            got = np.array(links_of(sets, least) if len(sets) > 1 else [], np.int64).reshape(-1, 2)
-            at = np.array(nodes, np.int64)
-            return pd.DataFrame({"u": at[got[:, 0]], "v": at[got[:, 1]]})
-
-        for pdf in batches:
-            for g, node, text in zip(pdf["component"], pdf["node"], pdf["text"], strict=True):
-                if g != held:
-                    if held is not None:
-                        yield pairs()
-                    held, nodes, sets = g, [], []
-                nodes.append(node)
-                sets.append(shingles(text, shingle))
-        if held is not None:
-            yield pairs()
+        key, node = (np.append(held[i], np.asarray(batch.column(i))) for i in (0, 1))
+        if not len(key):
+            continue
+        same = key[1:] == key[:-1]
+        ok = np.append(False, same) | np.append(same, False)
+        ok[: len(held[2])] |= held[2]
+        held = (key[-1:], node[-1:], ok[-1:])
+        yield out(key[:-1], node[:-1], ok[:-1])
+    yield out(*held)
+
+
+def _chains(most: int, least: float):
+    """Rows (key, node, n, fp) sorted by key, n: each with the one before it and with the key's first, if they can be alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = first = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node, n, fp = np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)), _matrix(batch.column(3))
+            if last is not None:  # the row before this batch, and the first of its key
+                key, node, n, fp = (np.concatenate((a, b, x)) for a, b, x in zip(first, last, (key, node, n, fp), strict=True))
+            at = np.arange(len(key))
+            begin = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), at, 0))
+            a, b = np.concatenate((at[1:] - 1, begin)), np.concatenate((at[1:], at))
+            ok = (key[a] == key[b]) & (node[a] != node[b])
+            a, b = a[ok], b[ok]
+            ok = _near(fp, n, a, b, most, least)
+            yield _pairs(node[a[ok]], node[b[ok]])
+            cut_at = [slice(i, i + 1) for i in (int(begin[-1]), len(key) - 1)]
+            first, last = ([x[s] for x in (key, node, n, fp)] for s in cut_at)
+
+    return run
+
+
+def _across(most: int, least: float):
+    """Rows (cell, side, node, n, label, fp) sorted by cell: the pairs of different labels that can be alike. In a cell with
+    sides, only pairs of the two sides are looked at."""
+
+    def found(side, node, n, label, fp) -> Iterator[pa.RecordBatch]:
+        if len(node) < 2 or (label == label[0]).all():
+            return
+        order = np.argsort(label, kind="stable")
+        side, node, n, label, fp = (x[order] for x in (side, node, n, label, fp))
+        sided = side.any() and not side.all()
+        end = np.searchsorted(label, label, side="right")
+        for at in range(0, len(node), 256):
+            start = int(end[at])
+            if start >= len(node):
+                break
+            a, b = np.divmod(np.arange(min(256, len(node) - at) * (len(node) - start)), len(node) - start)
+            a, b = a + at, b + start
+            ok = b >= end[a]
+            if sided:
+                ok &= side[a] != side[b]
+            a, b = a[ok], b[ok]
+            ok = _near(fp, n, a, b, most, least)
+            yield _pairs(node[a[ok]], node[b[ok]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = np.asarray(batch.column(0))
+            rows = (*(np.asarray(batch.column(i)) for i in (1, 2, 3, 4)), _matrix(batch.column(5)))
+            head = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
+            for a, z in zip(head[:-1].tolist(), head[1:].tolist(), strict=True):
+                if pieces and pieces[0][0] != cell[a]:
+                    yield from found(*(np.concatenate(x) for x in zip(*(p[1] for p in pieces), strict=True)))
+                    pieces = []
+                pieces.append((cell[a], tuple(x[a:z] for x in rows)))
+        if pieces:
+            yield from found(*(np.concatenate(x) for x in zip(*(p[1] for p in pieces), strict=True)))
 
     return run
 
 
-def groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST, row: str = "_row", text: str = "text") -> DataFrame:
+def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """(u, v, ok): whether the texts of distinct pairs (u, v) are as like as `least`, by their sets of shingles.
+
+    Pairs that share a small neighbour go to one cell, so a text travels once to each cell and not once for each pair. Groups of
+    many documents are cut into cells by hashes of both ends; none has many more than 2*CELL texts.
+    """
+    spark = pairs.sparkSession
+    ends = pairs.select(F.col("u").alias("node"), F.col("v").alias("other")).unionAll(pairs.select(F.col("v").alias("node"), F.col("u").alias("other")))
+    low = ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
+    placed = pairs.join(low.select(F.col("node").alias("u"), F.col("m").alias("mu")), "u").join(low.select(F.col("node").alias("v"), F.col("m").alias("mv")), "v")
+    placed = cut(placed.select("u", "v", F.least("mu", "mv").alias("g")), "placed")
+    size = placed.groupBy("g").agg((F.approx_count_distinct("u") + F.approx_count_distinct("v")).alias("n"))
+    size = size.select("g", F.ceil(F.col("n") / (2 * CELL)).alias("cells"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("cells"))
+    placed = placed.join(size, "g").select(F.xxhash64("g", part("u"), part("v")).alias("cell"), "u", "v")
+    need = placed.select("cell", F.explode(F.array("u", "v")).alias("node")).groupBy("cell", "node").agg(F.count(F.lit(1))).select("cell", "node")
+    told = need.join(texts, "node").select("cell", F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "text")
+    rows = told.unionAll(placed.select("cell", "u", "v", F.lit(None).cast("string").alias("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sets = None, {}
+        for batch in batches:
+            us, vs, oks = [], [], []
+            for cell, u, v, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if cell != held:
+                    held, sets = cell, {}
+                if v is None:
+                    sets[u] = shingles(text, shingle)
+                else:
+                    us.append(u), vs.append(v), oks.append(alike(sets[u], sets[v], least))
+            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(oks, pa.bool_())], names=["u", "v", "ok"])
+
+    return rows.repartition(n_parts(spark), "cell").sortWithinPartitions("cell", F.col("v").asc_nulls_first()).mapInArrow(run, "u long, v long, ok boolean")
+
+
+def groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST, row: str = "_row", text: str = "text", segments: int | None = None, take: int | None = None) -> DataFrame:
     """(node, component) for every row: component is the smallest row number that links of likeness `least` or more reach.
 
-    rows has row numbers (long, unique). Equal sets of shingles become one before candidates are sought; texts without words are
-    one group. Sets with a band in common are candidates, and each component of candidates is compared exactly in one place.
+    rows has row numbers (long, unique). Equal sets of shingles become one before candidates are sought, so copies make no
+    pairs; texts without words (null and empty ones, too) are one group. First each set is compared with its neighbours under
+    each key, which joins most of a group; then those under one key that aren't joined yet are. So a link is found if its sets
+    share a key: 997 of 1,000 pairs of likeness 0.8 to 0.82 did when measured, likelier ones more often. Hot keys are cut into
+    cells. An empty table gives an empty table.
     """
     spark = rows.sparkSession
+    plain = rows.select(F.col(row).alias("node"), F.col(text).alias("text"))
 
-    def make():
+    def digests():
+        return lambda texts: [pa.array([xxhash.xxh128_digest(shingles(t, shingle).tobytes()) for t in texts], pa.binary())]
+
+    marked = cut(map_texts(plain, "text", [("digest", T.BinaryType())], digests).drop("text"), "marked")
+    sets = cut(marked.groupBy("digest").agg(F.min("node").alias("first")), "sets")
+    large = segments is None and sets.count() > LARGE
+    segments, take = segments or (LARGE_SEGMENTS if large else SEGMENTS), take or (LARGE_TAKE if large else TAKE)
+    most = most_bits(segments, least)
+
+    def fingerprints():
         def run(texts: list[str | None]) -> list[pa.Array]:
             found = [shingles(t, shingle) for t in texts]
-            digest = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in found], pa.binary())
-            return [digest, pa.array([band_keys(s) for s in found], pa.list_(pa.int64()))]
+            z = np.stack([sums(s, segments) for s in found])
+            bits = np.packbits(np.pad(z > 0, ((0, 0), (0, -z.shape[1] % 64))), axis=1, bitorder="little")
+            return [pa.array([len(s) for s in found], pa.int64()), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array([x.tobytes() for x in decode(z)], pa.binary())]
 
         return run
 
-    plain = rows.select(F.col(row).alias("node"), F.col(text).alias("text"))
-    marked = map_texts(plain, "text", [("digest", T.BinaryType()), ("keys", T.ArrayType(T.LongType()))], make).drop("text")
-    marked = cut(marked, "marked")
-    sets = cut(marked.groupBy("digest").agg(F.min("node").alias("first")), "sets")
-    keyed = marked.join(sets.select(F.col("first").alias("node")), "node", "left_semi").select(F.explode("keys").alias("key"), "node")
-    chains = keyed.repartition(n_parts(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_chains, "u long, v long")
-    near = components(chains)
-    near = cut(near.unionAll(near.select(F.col("component").alias("node"), "component").distinct()), "near")
-    candidates = near.join(plain, "node").select("component", "node", "text")
-    candidates = candidates.repartition(n_parts(spark), "component").sortWithinPartitions("component", "node")
-    found = components(candidates.mapInPandas(_verified(shingle, least), "u long, v long"))
-    classes = sets.join(found.withColumnRenamed("node", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("component"))
+    reps = plain.join(sets.select(F.col("first").alias("node")), "node", "left_semi")
+    reps = cut(map_texts(reps, "text", [("n", T.LongType()), ("fp", T.BinaryType()), ("codes", T.BinaryType())], fingerprints).drop("text").where("n > 0"), "reps")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4_096):
+                part = batch.slice(at, 4_096)
+                codes = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(part.num_rows, segments, NEAR)
+                key = keys_of(codes, take)
+                yield pa.record_batch([pa.array(key.reshape(-1)), pa.array(np.repeat(np.asarray(part.column(0)), key.shape[1]))], names=["key", "node"])
+
+    keyed = reps.select("node", "codes").mapInArrow(keys, "key long, node long")
+    shared = keyed.repartition(n_parts(spark), "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long")
+    shared = shared.join(reps.select("node", "n", "fp"), "node").select("key", "node", "n", "fp")
+    shared = cut(shared.repartition(n_parts(spark), "key").sortWithinPartitions("key", "n", "node"), "shared")
+
+    distinct = lambda pairs: pairs.groupBy("u", "v").agg(F.count(F.lit(1))).select("u", "v")
+    ordered = lambda df, *by: df.repartition(n_parts(spark), by[0]).sortWithinPartitions(*by)
+    first = cut(distinct(ordered(shared, "key", "n", "node").mapInArrow(_chains(most, least), _PAIR)), "pairs")
+    first = cut(verified(first, plain, shingle, least), "links")
+    label = components(first.where("ok"))
+
+    hot = shared.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > KEY_CELL).select("key", F.ceil(F.col("c") / KEY_CELL).cast("int").alias("cells"))
+    mixed = shared.join(label.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = mixed.join(hot, "key", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
+    mixed = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    mixed = mixed.select(cell.alias("cell"), (F.col("own") < F.col("other")).cast("int").alias("side"), "node", "n", "label", "fp")
+    second = distinct(ordered(mixed, "cell", "label").mapInArrow(_across(most, least), _PAIR)).join(first.select("u", "v"), ["u", "v"], "left_anti")
+    second = cut(verified(cut(second, "pairs"), plain, shingle, least), "links").where("ok")
+    named = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    second = second.join(named("u"), "u", "left").join(named("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    joined = components(second)
+
+    near = sets.join(label.withColumnRenamed("node", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("label"))
+    classes = near.join(joined.withColumnRenamed("node", "label"), "label", "left").select("digest", F.coalesce("component", "label").alias("component"))
     return marked.select("node", "digest").join(classes, "digest").select("node", "component")

@@ -3,6 +3,9 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline as pipeline
 from docloom.llm import common, similar
 from tests.llm.test_llm_operators import DOCS
@@ -51,18 +54,58 @@ def test_repeated_ids_and_null_ids_are_rows(spark):
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, a), (1, b), (None, "x")])
 
 
-def test_links_of_large_groups_span_the_components():
+def test_a_large_group_of_edited_copies(spark):
     r = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     texts = []
-    for _ in range(700):
+    for _ in range(500):
         words = list(base)
         for _ in range(r.randrange(0, 4)):
             words[r.randrange(60)] = f"x{r.randrange(10**6)}"
         texts.append(" ".join(words))
-    want, sets = slow_components(texts), [similar.shingles(t) for t in texts]
-    top = list(range(len(sets)))
-    for i, j in similar.links_of(sets):
-        x, y = top[i], top[j]
-        top = [min(x, y) if t in (x, y) else t for t in top]
-    assert top == want
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string").repartition(3)
+    got = {x.node: x.component for x in similar.groups(rows).collect()}
+    assert [got[i] for i in range(500)] == slow_components(texts)
+
+
+def test_long_keys_and_hot_keys_find_the_same(spark, monkeypatch):
+    texts = edited_copies(random.Random(8), 20)
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string").repartition(3)
+    want = slow_components(texts)
+    got = {x.node: x.component for x in similar.groups(rows, segments=similar.LARGE_SEGMENTS, take=similar.LARGE_TAKE).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    monkeypatch.setattr(similar, "KEY_CELL", 2)
+    monkeypatch.setattr(similar, "CELL", 2)
+    got = {x.node: x.component for x in similar.groups(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_keys_meet_for_like_sets():
+    rng, met = np.random.default_rng(2), 0
+    for _ in range(300):
+        both = rng.integers(0, 2**63, 240).astype(np.uint64)
+        a, b = (np.append(both, rng.integers(0, 2**63, 30).astype(np.uint64)) for _ in range(2))  # likeness 0.8
+        z = np.stack([similar.sums(a), similar.sums(b)])
+        assert int(((z[0] > 0) != (z[1] > 0)).sum()) <= similar.most_bits(similar.SEGMENTS, 0.8)
+        x, y = similar.keys_of(similar.decode(z))
+        met += bool(np.intersect1d(x, y).size)
+    assert met >= 290
+
+
+def test_decoding_finds_the_nearest_codewords():
+    z = np.random.default_rng(3).standard_normal((20, 23))
+    words = similar._codewords()
+    assert ((words[:, :1] != words[:, 1:]).sum(0) >= 7).all()
+    best = np.argsort(-(z.astype(np.float32) @ words), axis=1, kind="stable")[:, :2]
+    assert (similar.decode(z)[:, 0] == best).all()
+
+
+def test_rows_of_shared_keys_over_batches():
+    r = random.Random(1)
+    key = sorted(r.randrange(60) for _ in range(100))
+    rows = list(zip(key, range(100)))
+    want = [x for x in rows if key.count(x[0]) > 1]
+    for size in (1, 2, 3, 7, 100):
+        batches = [pa.record_batch([pa.array([k for k, _ in rows[i : i + size]]), pa.array([n for _, n in rows[i : i + size]])], names=["key", "node"]) for i in range(0, 100, size)]
+        got = [(k, n) for b in similar._shared(iter(batches)) for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert got == want
