@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import cut, map_texts, mix64, n_parts, words_of
+from docloom.llm.common import cut, gram_hashes, map_texts, mix64, n_parts, words_of
 from docloom.llm.components import components
 from docloom.llm.simhash import _syndrome
 
@@ -33,18 +33,25 @@ LARGE, LARGE_SEGMENTS, LARGE_TAKE = 2**26, 12, 3
 CELL, KEY_CELL = 256, 20_000
 
 
+class _WordHashes(dict):
+    """Word to 64-bit hash, computed once; emptied when it grows large."""
+
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > 150_000:
+            self.clear()
+        h = self[w] = xxhash.xxh64_intdigest(w, 42)
+        return h
+
+
+_hashes = _WordHashes()
+
+
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles; a text of fewer words is one, one without words has none."""
     words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1] + 1))
-    h64 = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((h64(joined[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64))
+    return np.unique(gram_hashes(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)), min(shingle, len(words))))
 
 
 def sums(s: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
@@ -167,7 +174,13 @@ def _across(most: int, least: float):
     sides, only pairs of the two sides are looked at."""
 
     def found(side, node, n, label, fp) -> Iterator[pa.RecordBatch]:
-        if len(node) < 2 or (label == label[0]).all():
+        if len(node) < 2 or label[0] == label[-1]:
+            return
+        if len(node) == 2:
+            if side[0] == side[1] == 0 or side[0] != side[1]:
+                ok = _near(fp, n, np.array([0]), np.array([1]), most, least)
+                if ok[0]:
+                    yield _pairs(node[:1], node[1:])
             return
         order = np.argsort(label, kind="stable")
         side, node, n, label, fp = (x[order] for x in (side, node, n, label, fp))
@@ -193,8 +206,11 @@ def _across(most: int, least: float):
                 continue
             cell = np.asarray(batch.column(0))
             rows = (*(np.asarray(batch.column(i)) for i in (1, 2, 3, 4)), _matrix(batch.column(5)))
-            head = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
-            for a, z in zip(head[:-1].tolist(), head[1:].tolist(), strict=True):
+            label, bound = rows[3], np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
+            head, size = bound[:-1], np.diff(bound)
+            mixed = label[head] != label[bound[1:] - 1]  # a cell's rows stand by label
+            mixed[[0, -1]] = True  # may go on before or after this batch
+            for a, z in zip(head[mixed].tolist(), (head + size)[mixed].tolist(), strict=True):
                 if pieces and pieces[0][0] != cell[a]:
                     yield from found(*(np.concatenate(x) for x in zip(*(p[1] for p in pieces), strict=True)))
                     pieces = []
