@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 #: Words of a shingle, and the share of a template's shingles that a window must hold.
 SHINGLE, LEAST = 5, 0.8
-#: Bands of one row. Where a template lies in a window of its class, their Jaccard likeness is 0.3 or more even if a fifth of
-#: its shingles are changed; then they meet in at least one of 24 bands with probability 1 - 0.7**24 > 0.9998.
+#: Bands of one row. Where a template lies in a window of its class, their Jaccard likeness is 0.27 or more even if a fifth of
+#: its shingles are changed; then they meet in at least one of 24 bands with probability 1 - 0.73**24 > 0.9994.
 BANDS = 24
-#: Windows have so many shingles (classes); neighbours begin a quarter of that apart.
-CLASSES = (1, 2, 4, 8, 16, 32, 64, 128, 256)
+#: Tables of so many templates at most are broadcast.
+BROADCAST_TEMPLATES = 5_000
 
 #: Public license notices.
 TEMPLATES = (
@@ -47,9 +47,23 @@ def hop(size: int) -> int:
     return max(1, size // 4)
 
 
+def holds(size: int) -> int:
+    """The longest run of shingles that one of the windows of a size always holds whole."""
+    return size - hop(size) + 1
+
+
+def classes_for(n: int) -> list[int]:
+    """Sizes of windows, in shingles, for templates of up to n: powers of two, as many as it takes. Neighbours begin a quarter of
+    the size apart."""
+    found = [1]
+    while holds(found[-1]) < n:
+        found.append(2 * found[-1])
+    return found
+
+
 def class_of(n: int) -> int:
     """The smallest window of which one always holds a run of n shingles whole."""
-    return next((c for c in CLASSES if n <= c - hop(c) + 1), CLASSES[-1])
+    return classes_for(n)[-1]
 
 
 def _words(text: Column) -> Column:
@@ -72,15 +86,20 @@ def _bands(hashes: Column) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("band"), one(k)["low"].alias("low"), one(k)["h"].alias("h")) for k in range(BANDS)])
 
 
+def _lows(bands: Column) -> Column:
+    return F.transform(bands, lambda b: b["low"])
+
+
 def templates_table(spark: SparkSession, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(template, shingles, n, size, bands): templates of at least SHINGLE words, with their window class."""
     rows = F.array(*[F.struct(F.lit(a).alias("template"), F.lit(b).alias("body")) for a, b in templates])
     t = _fixed(spark.range(1).select(F.explode(rows).alias("t")).select("t.*"), "words", _words(F.col("body")))
     t = _fixed(t, "shingles", F.array_distinct(_shingles(F.col("words")))).select("template", "shingles")
     t = t.withColumn("n", F.size("shingles")).where("n > 0")
-    size = F.lit(CLASSES[-1])
-    for c in reversed(CLASSES[:-1]):
-        size = F.when(F.col("n") <= c - hop(c) + 1, F.lit(c)).otherwise(size)
+    known = classes_for(max((len(body) for _, body in templates), default=1))  # a text has fewer words than characters
+    size = F.lit(known[-1])
+    for c in reversed(known[:-1]):
+        size = F.when(F.col("n") <= holds(c), F.lit(c)).otherwise(size)
     t = _fixed(t.withColumn("size", size), "hashes", F.transform("shingles", _hash))
     return _fixed(t, "bands", _bands(F.col("hashes"))).drop("hashes")
 
@@ -90,11 +109,13 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, text
     shingles or more; the highest share, where the first such window begins, and how many there are.
 
     Null and short texts hold nothing. Rows of equal doc_id, null too, are reported as one document. Templates of fewer than
-    SHINGLE words are left out. The driver sees BANDS hashes for each template. An empty table gives an empty table.
+    SHINGLE words are left out; others may be of any length, as windows grow with them. The driver sees BANDS hashes for each
+    template. A window is verified once for a template, at the first band in which they meet. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     table = templates_table(spark, templates)
-    known = table.select("template", "size", F.explode("bands").alias("b")).select("template", "size", "b.band", "b.low", "b.h")
+    known = table.select("template", "size", _lows(F.col("bands")).alias("theirs"), F.explode("bands").alias("b")).select("template", "size", "theirs", "b.band", "b.low", "b.h")
+    small = F.broadcast if len(templates) <= BROADCAST_TEMPLATES else (lambda df: df)
     seeds = [r["h"] for r in known.select("h").distinct().collect()]  # BANDS for each template at most
     sizes = [r["size"] for r in table.select("size").distinct().orderBy("size").collect()]
 
@@ -113,9 +134,11 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, text
 
     windows = rows.select("doc_id", F.explode(F.flatten(F.array(*[starts(s) for s in sizes]))).alias("w")).select("doc_id", "w.*")
     windows = _fixed(_fixed(windows, "held", _shingles(F.col("words"))), "hashes", F.transform("held", _hash))
-    met = windows.withColumn("b", F.explode(_bands(F.col("hashes")))).select("doc_id", "size", "start", "held", "b.band", "b.low")
-    met = met.join(F.broadcast(known.drop("h")), ["size", "band", "low"]).select("doc_id", "size", "start", "held", "template")  # BANDS rows for each template
-    met = met.join(F.broadcast(table.select("template", "shingles", "n")), "template")
+    met = _fixed(windows, "bands", _bands(F.col("hashes"))).withColumn("lows", _lows(F.col("bands"))).drop("hashes")
+    met = met.select("doc_id", "size", "start", "held", "lows", F.explode("bands").alias("b")).select("doc_id", "size", "start", "held", "lows", "b.band", "b.low")
+    met = met.join(small(known.drop("h")), ["size", "band", "low"])  # BANDS rows for each template
+    met = met.where(F.array_position(F.zip_with("lows", "theirs", lambda a, b: a == b), True) == F.col("band") + 1).select("doc_id", "size", "start", "held", "template")
+    met = met.join(small(table.select("template", "shingles", "n")), "template")
     share = F.size(F.array_intersect("held", "shingles")) / F.col("n")
     held = met.withColumn("containment", share).where(F.col("containment") >= LEAST)
     return held.groupBy("doc_id", "template").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_word"), F.count_distinct("start").alias("n_windows"))
@@ -128,7 +151,8 @@ def op8_licenses(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def _oracle() -> str:
     """Every window of every document against every template, without hashes."""
     quoted = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in TEMPLATES)
-    size = "CASE " + " ".join(f"WHEN n <= {c - hop(c) + 1} THEN {c}" for c in CLASSES[:-1]) + f" ELSE {CLASSES[-1]} END"
+    known = classes_for(max(len(body) for _, body in TEMPLATES))
+    size = "CASE " + " ".join(f"WHEN n <= {holds(c)} THEN {c}" for c in known) + " END"
     words = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
     shingles = "list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))"
     return f"""
