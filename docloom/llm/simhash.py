@@ -143,8 +143,8 @@ def _key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _link_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches sorted by key; the last key of a batch waits for the next batch."""
-    kept: pd.DataFrame | None = None
+    """Batches sorted by key; the last key of a batch waits for the next batch, in pieces that are put together once."""
+    kept: list[pd.DataFrame] = []
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         key, fp, rep = (pdf[c].to_numpy(np.int64) for c in ("key", "fp", "rep"))
@@ -162,15 +162,17 @@ def _link_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
 
     for pdf in batches:
-        pdf = pdf if kept is None else pd.concat((kept, pdf), ignore_index=True)
         if not len(pdf):
             continue
-        last = pdf["key"].iloc[-1]
-        at = int(np.searchsorted(pdf["key"].to_numpy(), last))
-        kept = pdf.iloc[at:]
-        yield pairs(pdf.iloc[:at])
-    if kept is not None:
-        yield pairs(kept)
+        if kept and kept[0]["key"].iloc[0] == pdf["key"].iloc[-1]:  # all of it goes on with the key that waits
+            kept.append(pdf)
+            continue
+        whole = pd.concat((*kept, pdf), ignore_index=True)
+        at = int(np.searchsorted(whole["key"].to_numpy(), whole["key"].iloc[-1]))
+        kept = [whole.iloc[at:]]
+        yield pairs(whole.iloc[:at])
+    if kept:
+        yield pairs(pd.concat(kept, ignore_index=True))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataFrame:

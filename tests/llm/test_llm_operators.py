@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -522,6 +523,16 @@ def test_op8_licenses(spark):
     assert licenses.scan(docs_of(spark, [])).count() == 0
 
 
+def test_op8_long_templates(spark):
+    r = random.Random(8)
+    words = [f"w{r.randrange(5000)}" for _ in range(400)]
+    template, edited = " ".join(words), " ".join("other" if i % 60 == 7 else w for i, w in enumerate(words))
+    rows = [(1, template), (2, "x " * 777 + template + " y" * 50), (3, edited), (4, " ".join(words[:200])), (5, " ".join(f"z{i}" for i in range(30_000)) + " " + template)]
+    got = {r.doc_id: r.containment for r in licenses.scan(docs_of(spark, rows), [("long", template), ("short", "a b c d e f")]).collect()}
+    assert got.keys() == {1, 2, 3, 5} and got[1] == got[2] == got[5] == 1 and 0.8 <= got[3] < 1
+    assert licenses.classes_for(1) == [1] and all(licenses.holds(licenses.class_of(n)) >= n > licenses.holds(licenses.class_of(n) // 2) for n in range(2, 700))
+
+
 # ---- op 9
 
 
@@ -581,6 +592,42 @@ def test_op10_without_labels(spark):
     assert toxicity.op10_toxicity(spark, docs_of(spark, []), empty).count() == 0
 
 
+def test_op10_bound_holds_for_repeated_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows: seen.extend(rows.collect()))
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(40)], "doc_id long, quality int, toxic int")
+    toxicity.train_from_tables(docs_of(spark, [(i, f"text {k}") for i in range(40) for k in range(9)]), labels, 10)
+    assert len(seen) == 10 and {r.text for r in seen} == {"text 0"}
+
+
+def test_ftrl_against_a_slow_version():
+    rng, fast, z, n = np.random.default_rng(4), toxicity.FTRL(bits=6, l1=0.4), [0.0] * 65, [0.0] * 65
+    for _ in range(300):
+        x, y = np.unique(rng.integers(0, 64, 9)), int(rng.random() < 0.4)
+        fast.learn(x, y)
+        w = {}
+        for i in [*x.tolist(), 64]:
+            l1, l2 = (0.0, 0.0) if i == 64 else (fast.l1, fast.l2)  # the bias is not shrunk
+            w[i] = 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((fast.beta + n[i] ** 0.5) / fast.alpha + l2)
+        g = 1 / (1 + np.exp(-sum(w.values()))) - y
+        for i in w:
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / fast.alpha * w[i]
+            n[i] += g * g
+    assert np.allclose(fast.z, z) and np.allclose(fast.n, n)
+
+
+def test_op7_one_key_over_many_batches():
+    rng = np.random.default_rng(6)
+    fp = np.unique(rng.integers(0, 2**20, 900)).astype(np.int64)
+    rows = pd.DataFrame({"key": np.append(np.full(len(fp), 5), [7, 7]), "fp": np.append(fp, [1, 3]), "rep": np.append(np.arange(len(fp)), [9000, 9001])})
+    want = None
+    for size in (1, 40, 5000):
+        got = pd.concat(list(simhash._link_rows(iter([rows.iloc[i : i + size] for i in range(0, len(rows), size)]))))
+        pairs = sorted(zip(got["u"], got["v"]))
+        want = want or pairs
+        assert pairs == want and (9000, 9001) in pairs
+
+
 def test_ftrl_weights_are_sparse():
     model = toxicity.FTRL(bits=10)
     rng = np.random.default_rng(0)
