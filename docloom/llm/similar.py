@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations, product
+from itertools import chain, combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,9 @@ SHINGLE, LEAST = 5, 0.8
 #: shingles. Keys get longer with the corpus, so that unlike documents rarely meet in one; pairs of likeness 0.8 still do.
 SEGMENTS, NEAR, TAKE = 8, 2, 2
 LARGE, LARGE_SEGMENTS, LARGE_TAKE = 2**26, 12, 3
-#: Documents of a cell in which pairs are verified, and of a cell of a hot key, about.
-CELL, KEY_CELL = 256, 20_000
+#: Rows of a key that are compared all with all at once; documents of a cell in which pairs are verified, and of a cell of a
+#: hot key, about; rows that may be broadcast.
+SMALL, CELL, KEY_CELL, BROADCAST = 16, 256, 20_000, 20_000
 
 
 class _WordHashes(dict):
@@ -145,26 +146,42 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(*held)
 
 
-def _chains(most: int, least: float):
-    """Rows (key, node, n, fp) sorted by key, n: each with the one before it and with the key's first, if they can be alike."""
+def _within(most: int, least: float):
+    """Rows (key, node, n, fp) sorted by key, n: pairs that can be alike. Keys of SMALL rows or fewer give all of theirs; in others
+    each row is held against the one before it and the key's first, so a task keeps a few rows only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = first = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, node, n, fp = np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)), _matrix(batch.column(3))
-            if last is not None:  # the row before this batch, and the first of its key
-                key, node, n, fp = (np.concatenate((a, b, x)) for a, b, x in zip(first, last, (key, node, n, fp), strict=True))
-            at = np.arange(len(key))
-            begin = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), at, 0))
-            a, b = np.concatenate((at[1:] - 1, begin)), np.concatenate((at[1:], at))
-            ok = (key[a] == key[b]) & (node[a] != node[b])
-            a, b = a[ok], b[ok]
-            ok = _near(fp, n, a, b, most, least)
-            yield _pairs(node[a[ok]], node[b[ok]])
-            cut_at = [slice(i, i + 1) for i in (int(begin[-1]), len(key) - 1)]
-            first, last = ([x[s] for x in (key, node, n, fp)] for s in cut_at)
+        held, large = None, None  # rows that wait, and the key that is known to be large
+        for batch in chain(batches, [None]):
+            rows = None
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                rows = [*(np.asarray(batch.column(i)) for i in range(3)), _matrix(batch.column(3))]
+            if held is not None:
+                rows = held if rows is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if rows is None:
+                return
+            key, node, n, fp = rows
+            head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(head, len(key)))
+            big = np.repeat((size > SMALL) | (key[head] == large if large is not None else False), size)
+            begin, at = np.repeat(head, size), np.arange(len(key))
+            whole = len(key) if batch is None or big[-1] else int(head[-1])  # the last key goes on, if it is small
+            a, z = [np.where(big, begin, -1)], [at]
+            for d in range(1, SMALL):
+                other = at - d
+                ok = (other >= begin) & (~big | (d == 1)) & (at < whole)
+                if not ok.any():
+                    break
+                a.append(other[ok]), z.append(at[ok])
+            a, z = np.concatenate(a), np.concatenate(z)
+            ok = (a >= 0) & (a != z)
+            a, z = a[ok], z[ok]
+            ok = _near(fp, n, a, z, most, least) & (node[a] != node[z])
+            yield _pairs(node[a[ok]], node[z[ok]])
+            large, keep = (key[-1], [int(head[-1]), len(key) - 1]) if big[-1] else (None, list(range(int(head[-1]), len(key))))
+            held = [x[keep] for x in rows] if batch is not None else None
 
     return run
 
@@ -244,7 +261,8 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least:
     part = lambda c: F.pmod(F.xxhash64(c), F.col("cells"))
     placed = placed.join(size, "g").select(F.xxhash64("g", part("u"), part("v")).alias("cell"), "u", "v")
     need = placed.select("cell", F.explode(F.array("u", "v")).alias("node")).groupBy("cell", "node").agg(F.count(F.lit(1))).select("cell", "node")
-    told = need.join(texts, "node").select("cell", F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "text")
+    need = cut(need, "need")
+    told = texts.join(F.broadcast(need) if need.limit(BROADCAST + 1).count() <= BROADCAST else need, "node").select("cell", F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "text")
     rows = told.unionAll(placed.select("cell", "u", "v", F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,40 +285,37 @@ def groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST, row: s
     """(node, component) for every row: component is the smallest row number that links of likeness `least` or more reach.
 
     rows has row numbers (long, unique). Equal sets of shingles become one before candidates are sought, so copies make no
-    pairs; texts without words (null and empty ones, too) are one group. First each set is compared with its neighbours under
-    each key, which joins most of a group; then those under one key that aren't joined yet are. So a link is found if its sets
-    share a key: 997 of 1,000 pairs of likeness 0.8 to 0.82 did when measured, likelier ones more often. Hot keys are cut into
-    cells. An empty table gives an empty table.
+    pairs; texts without words (null and empty ones, too) are one group. Sets under a key that few have are compared all with
+    all. Under others, each is first compared with its neighbours, which joins most of a group, and then with those that
+    aren't joined yet; hot keys are cut into cells. So a link is found if its sets share a key: 997 of 1,000 pairs of likeness
+    0.8 to 0.82 did when measured, likelier ones more often. An empty table gives an empty table.
     """
     spark = rows.sparkSession
     plain = rows.select(F.col(row).alias("node"), F.col(text).alias("text"))
-
-    def digests():
-        return lambda texts: [pa.array([xxhash.xxh128_digest(shingles(t, shingle).tobytes()) for t in texts], pa.binary())]
-
-    marked = cut(map_texts(plain, "text", [("digest", T.BinaryType())], digests).drop("text"), "marked")
-    sets = cut(marked.groupBy("digest").agg(F.min("node").alias("first")), "sets")
-    large = segments is None and sets.count() > LARGE
-    segments, take = segments or (LARGE_SEGMENTS if large else SEGMENTS), take or (LARGE_TAKE if large else TAKE)
-    most = most_bits(segments, least)
+    wide = segments or LARGE_SEGMENTS
 
     def fingerprints():
         def run(texts: list[str | None]) -> list[pa.Array]:
             found = [shingles(t, shingle) for t in texts]
-            z = np.stack([sums(s, segments) for s in found])
+            z = np.stack([sums(s, wide) for s in found])
             bits = np.packbits(np.pad(z > 0, ((0, 0), (0, -z.shape[1] % 64))), axis=1, bitorder="little")
-            return [pa.array([len(s) for s in found], pa.int64()), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array([x.tobytes() for x in decode(z)], pa.binary())]
+            return [pa.array([xxhash.xxh128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array([x.tobytes() for x in decode(z)], pa.binary())]
 
         return run
 
-    reps = plain.join(sets.select(F.col("first").alias("node")), "node", "left_semi")
-    reps = cut(map_texts(reps, "text", [("n", T.LongType()), ("fp", T.BinaryType()), ("codes", T.BinaryType())], fingerprints).drop("text").where("n > 0"), "reps")
+    marked = map_texts(plain, "text", [("digest", T.BinaryType()), ("n", T.LongType()), ("fp", T.BinaryType()), ("codes", T.BinaryType())], fingerprints)
+    marked = cut(marked.drop("text"), "marked")
+    sets = cut(marked.groupBy("digest").agg(F.min("node").alias("first")), "sets")
+    large = segments is None and sets.count() > LARGE
+    segments, take = segments or (LARGE_SEGMENTS if large else SEGMENTS), take or (LARGE_TAKE if large else TAKE)
+    most = most_bits(wide, least)
+    reps = cut(marked.where("n > 0").drop("digest").join(sets.select(F.col("first").alias("node")), "node", "left_semi"), "reps")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4_096):
                 part = batch.slice(at, 4_096)
-                codes = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(part.num_rows, segments, NEAR)
+                codes = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(part.num_rows, wide, NEAR)[:, :segments]
                 key = keys_of(codes, take)
                 yield pa.record_batch([pa.array(key.reshape(-1)), pa.array(np.repeat(np.asarray(part.column(0)), key.shape[1]))], names=["key", "node"])
 
@@ -311,23 +326,22 @@ def groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST, row: s
 
     distinct = lambda pairs: pairs.groupBy("u", "v").agg(F.count(F.lit(1))).select("u", "v")
     ordered = lambda df, *by: df.repartition(n_parts(spark), by[0]).sortWithinPartitions(*by)
-    first = cut(distinct(ordered(shared, "key", "n", "node").mapInArrow(_chains(most, least), _PAIR)), "pairs")
+    first = cut(distinct(ordered(shared, "key", "n", "node").mapInArrow(_within(most, least), _PAIR)), "pairs")
     first = cut(verified(first, plain, shingle, least), "links")
     label = components(first.where("ok"))
+    classes = sets.join(label.withColumnRenamed("node", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("component"))
 
-    hot = shared.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > KEY_CELL).select("key", F.ceil(F.col("c") / KEY_CELL).cast("int").alias("cells"))
-    mixed = shared.join(label.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = mixed.join(hot, "key", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    hot = cut(shared.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SMALL).select("key", F.ceil(F.col("c") / KEY_CELL).cast("int").alias("cells")), "hot")
+    mixed = shared.join(hot, "key").join(label.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
     mixed = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     mixed = mixed.select(cell.alias("cell"), (F.col("own") < F.col("other")).cast("int").alias("side"), "node", "n", "label", "fp")
-    second = distinct(ordered(mixed, "cell", "label").mapInArrow(_across(most, least), _PAIR)).join(first.select("u", "v"), ["u", "v"], "left_anti")
-    second = cut(verified(cut(second, "pairs"), plain, shingle, least), "links").where("ok")
-    named = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    second = second.join(named("u"), "u", "left").join(named("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    joined = components(second)
-
-    near = sets.join(label.withColumnRenamed("node", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("label"))
-    classes = near.join(joined.withColumnRenamed("node", "label"), "label", "left").select("digest", F.coalesce("component", "label").alias("component"))
+    second = cut(distinct(ordered(mixed, "cell", "label").mapInArrow(_across(most, least), _PAIR)).join(first.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
+    if not second.isEmpty():
+        second = cut(verified(second, plain, shingle, least), "links").where("ok")
+        named = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        second = second.join(named("u"), "u", "left").join(named("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+        joined = components(second).select(F.col("node").alias("label"), F.col("component").alias("top"))
+        classes = classes.withColumnRenamed("component", "label").join(joined, "label", "left").select("digest", F.coalesce("top", "label").alias("component"))
     return marked.select("node", "digest").join(classes, "digest").select("node", "component")

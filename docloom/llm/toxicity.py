@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import crc_mod, map_texts, mix64, words_of
+from docloom.llm.common import crc_mod, map_texts, mix64, release, words_of
 
 #: Size of the hashed feature space, as a power of two.
 BITS = 20
@@ -134,9 +134,11 @@ def fit(labelled: DataFrame, bits: int = BITS, steps: int = STEPS) -> Model:
         for i in rng.permutation(len(xs)):
             for _ in range(POSITIVE_STEPS if ys[i] else 1):
                 model.learn(xs[i], ys[i])
-    w = model.weights(slice(0, 2**bits))
+    w, bias = model.weights(slice(0, 2**bits)), model.bias() if xs else 0.0
     index = np.flatnonzero(w)
-    return Model(index, w[index].astype(np.float64), model.bias() if xs else 0.0, bits)
+    del xs, got, model, seen
+    release()
+    return Model(index, w[index].astype(np.float64), bias, bits)
 
 
 def bounded_labels(labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:

@@ -74,6 +74,7 @@ def test_long_keys_and_hot_keys_find_the_same(spark, monkeypatch):
     want = slow_components(texts)
     got = {x.node: x.component for x in similar.groups(rows, segments=similar.LARGE_SEGMENTS, take=similar.LARGE_TAKE).collect()}
     assert [got[i] for i in range(len(texts))] == want
+    monkeypatch.setattr(similar, "SMALL", 2)
     monkeypatch.setattr(similar, "KEY_CELL", 2)
     monkeypatch.setattr(similar, "CELL", 2)
     got = {x.node: x.component for x in similar.groups(rows).collect()}
@@ -109,3 +110,18 @@ def test_rows_of_shared_keys_over_batches():
         batches = [pa.record_batch([pa.array([k for k, _ in rows[i : i + size]]), pa.array([n for _, n in rows[i : i + size]])], names=["key", "node"]) for i in range(0, 100, size)]
         got = [(k, n) for b in similar._shared(iter(batches)) for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         assert got == want
+
+
+def test_pairs_within_keys_over_batches(monkeypatch):
+    monkeypatch.setattr(similar, "SMALL", 4)
+    r = random.Random(3)
+    key = sorted([r.randrange(30) for _ in range(70)] + [40] * 11)
+    rows = [(k, i, 100, bytes(8)) for i, k in enumerate(key)]
+    want = set()
+    for i, k in enumerate(key):
+        same = [j for j in range(len(key)) if key[j] == k]
+        want |= {(j, i) for j in same if j < i} if len(same) <= 4 else {(j, i) for j in (i - 1, same[0]) if j in same and j < i}
+    for size in (1, 2, 3, 5, 9, 100):
+        batches = [pa.record_batch([pa.array(c) for c in zip(*rows[i : i + size])], names=["key", "node", "n", "fp"]) for i in range(0, len(rows), size)]
+        got = [(u, v) for b in similar._within(3, 0.8)(iter(batches)) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert set(got) == want
