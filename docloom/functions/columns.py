@@ -8,19 +8,20 @@ every path. Each function takes all paths of a document at once, so a document i
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from decimal import Decimal
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.config import DEFAULT, Config
 from docloom.errors import INVALID_PATH, PATH_NOT_FOUND, JsonError
 from docloom.functions import convert, interp, values
-from docloom.plans.path import native_path, parse
+from docloom.plans.path import native_key, native_path, parse
 
-SPARK_TYPES = {"int": "int", "long": "bigint", "double": "double", "boolean": "boolean", "string": "string"}
+SPARK_TYPES = {"int": "int", "long": "bigint", "unsigned": "decimal(20,0)", "double": "double", "boolean": "boolean", "string": "string"}
 ACCESS = "struct<value: string, exists: boolean, type: string, error: string>"
 
 
@@ -29,10 +30,28 @@ def _column(c: Column | str) -> Column:
 
 
 def variant(doc: Column | str) -> Column:
-    """A document's VARIANT, NULL where it isn't JSON. Parse once and take many paths from it."""
+    """A document's VARIANT, NULL where no JSON value begins it. Parse once and take many paths from it.
+
+    Of equal keys the last counts, as everywhere here; the session is told so. Text after the value is left alone (see json_valid).
+    """
+    last_key_counts()
     return F.try_parse_json(_column(doc))
 
 
+def last_key_counts() -> None:
+    """Let this session's VARIANT parser take the last of equal keys; without this, such documents are NULL."""
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get("spark.sql.variant.allowDuplicateKeys", "false") != "true":
+        session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def _native_step(name: str, at: str) -> str:
+    key = native_key(name)
+    if key is None:
+        raise JsonError(INVALID_PATH, "names with both kinds of quotes or a backslash have no native form", at, name)
+    return "$" + key
+
+
 def native_get(v: Column | str, path: str) -> Column:
     """A path of names and indices from 0 as VARIANT, by built-in functions: NULL where something is missing."""
     native = native_path(parse(path))
@@ -67,7 +86,7 @@ def native_slice(v: Column, start: int | None = None, stop: int | None = None, s
 
 def native_extract(v: Column, name: str) -> Column:
     """What the objects of an array VARIANT have under a name, nulls kept."""
-    path = "$['" + name.replace("'", "") + "']"
+    path = _native_step(name, "native_extract")
     return F.filter(F.transform(variant_array(v), lambda x: F.try_variant_get(x, path, "variant")), lambda x: x.isNotNull())
 
 
@@ -85,7 +104,7 @@ def native_put(v: Column | str, path: str, value: Column) -> Column:
 
     def put(at: Column, rest: list[str]) -> Column:
         own = F.coalesce(_entries(at), F.when(at.isNull() | F.is_variant_null(at), F.expr("cast(map() as map<string,variant>)")))
-        new = value.cast("variant") if len(rest) == 1 else put(F.try_variant_get(at, "$['" + rest[0] + "']", "variant"), rest[1:])
+        new = value.cast("variant") if len(rest) == 1 else put(F.try_variant_get(at, _native_step(rest[0], "native_put"), "variant"), rest[1:])
         return F.to_variant_object(F.map_concat(F.map_filter(own, lambda k, _: k != rest[0]), F.when(new.isNotNull(), F.create_map(F.lit(rest[0]), new))))
 
     return put(_column(v), names)
@@ -155,7 +174,9 @@ def json_get_all(doc: Column | str, paths: Mapping[str, tuple[str, str]], config
                 except JsonError:
                     out[n].append(None)
         types = {"int": "Int32", "long": "Int64", "double": "Float64", "boolean": "boolean", "string": object}
-        return pd.DataFrame({n: pd.array(x, dtype=types[plan[n][1]]) if plan[n][1] != "string" else pd.Series(x, dtype=object) for n, x in out.items()})
+        decimals = {n for n, (_, to) in plan.items() if to == "unsigned"}
+        out |= {n: [None if x is None else Decimal(x) for x in out[n]] for n in decimals}
+        return pd.DataFrame({n: pd.array(x, dtype=types[plan[n][1]]) if plan[n][1] in types and plan[n][1] != "string" else pd.Series(x, dtype=object) for n, x in out.items()})
 
     return F.pandas_udf(run, returnType=kind)(_column(doc))
 
@@ -286,12 +307,29 @@ def json_delete_clean(doc: Column | str, path: str, config: Config = DEFAULT) ->
 
 
 def json_valid(doc: Column | str, config: Config = DEFAULT) -> Column:
-    """Whether a text is one JSON value and nothing else. NULL isn't."""
+    """Whether a text is one JSON value and nothing else, within the limits of size and depth; by built-in functions. NULL isn't.
 
-    def run(docs: pd.Series) -> pd.Series:
-        return pd.Series([interp.attempt(lambda d=d: values.loads(d, config))[1] is None for d in docs], dtype=bool)
+    The parser stops after a value. So it is given the document and a hash of it as the two elements of an array: only if
+    the document is a whole value are there two elements and the hash the last of them.
+    """
+    c, h = _column(doc), F.xxhash64(_column(doc))
+    last_key_counts()
+    pair = F.try_parse_json(F.concat(F.lit("["), c, F.lit(","), h.cast("string"), F.lit("]"))).try_cast("array<variant>")
+    whole = (F.size(pair) == 2) & F.try_variant_get(F.get(pair, F.lit(1)), "$", "bigint").eqNullSafe(h)
+    deep = F.when(F.char_length(F.regexp_replace(c, r"[^\[{]", "")) > config.max_depth, native_nesting(c) > config.max_depth).otherwise(F.lit(False))
+    return F.when(c.isNull() | (F.char_length(c) > config.max_json_size), F.lit(False)).otherwise(F.coalesce(whole, F.lit(False)) & ~deep)
+
+
+def native_nesting(text: Column | str) -> Column:
+    """The deepest level of brackets outside of strings, by built-in functions. Possessive quantifiers keep long strings off the stack."""
+    bare = F.regexp_extract_all(F.regexp_replace(_column(text), r'"(?:[^"\\]++|\\.)*+"?', ""), F.lit(r"([\[\]{}])"), 1)
+    start = F.struct(F.lit(0).alias("level"), F.lit(0).alias("most"))
+
+    def step(acc: Column, x: Column) -> Column:
+        level = acc["level"] + F.when(x.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(level.alias("level"), F.greatest(acc["most"], level).alias("most"))
 
-    return F.pandas_udf(run, returnType="boolean")(_column(doc))
+    return F.aggregate(bare, start, step, lambda acc: acc["most"])
 
 
 def json_exists(doc: Column | str, path: str, config: Config = DEFAULT) -> Column:

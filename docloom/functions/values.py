@@ -31,11 +31,26 @@ def loads(text: str | None, config: Config = DEFAULT) -> Any:
         raise JsonError(DEPTH_LIMIT, "nested too deep", "parse") from None
     except ValueError as e:
         raise JsonError(INVALID_JSON, str(e), "parse") from None
+    if _ESCAPED_SURROGATE.search(text):
+        value = _paired(value)
     if text.count("[") + text.count("{") > config.max_depth and depth(value) > config.max_depth:
         raise JsonError(DEPTH_LIMIT, f"nested deeper than {config.max_depth}", "parse")
     return value
 
 
+_ESCAPED_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _paired(value: Any) -> Any:
+    """A value whose halves of surrogate pairs that stand alone have become U+FFFD, as no text can hold them."""
+    if isinstance(value, str):
+        return _SURROGATE.sub("\ufffd", value)
+    if isinstance(value, list):
+        return [_paired(x) for x in value]
+    return {_paired(k): _paired(x) for k, x in value.items()} if isinstance(value, dict) else value
+
+
 def depth(value: Any) -> int:
     """Levels of containers."""
     deepest, level = 0, [value]
@@ -178,6 +193,19 @@ def to_long(v: Any) -> int:
     return n
 
 
+def to_unsigned(v: Any) -> int:
+    """Whole numbers from 0 to 2**64 - 1, texts of digits, booleans as 1 and 0."""
+    if isinstance(v, (bool, int)) or isinstance(v, float) and math.isfinite(v) and v == int(v):
+        n = int(v)
+    elif isinstance(v, str) and re.match(r"\+?\d+\Z", v, re.A):
+        n = int(v)
+    else:
+        raise Failed
+    if not 0 <= n < 2**64:
+        raise Failed
+    return n
+
+
 def to_double(v: Any) -> float:
     if isinstance(v, (bool, int, float)):
         return float(v)
@@ -203,7 +231,7 @@ def to_string(v: Any) -> str:
     return v if isinstance(v, str) else dumps(v)
 
 
-CONVERT = {"int": to_long, "long": to_long, "double": to_double, "boolean": to_boolean, "string": to_string}
+CONVERT = {"int": to_long, "long": to_long, "unsigned": to_unsigned, "double": to_double, "boolean": to_boolean, "string": to_string}
 
 
 def convert(v: Any, to: str) -> Any:
@@ -326,7 +354,7 @@ def tokens(text: str) -> Iterator[tuple[int, str, str]]:
         if not m:
             raise JsonError(INVALID_JSON, f"no token at {at}", "tokens")
         name = ("delimiter", "string", "number", "boolean", "null")[m.lastindex - 1]
-        yield m.start(m.lastindex), name, json.loads(m[2]) if m.lastindex == 2 else m[m.lastindex]
+        yield m.start(m.lastindex), name, _paired(json.loads(m[2])) if m.lastindex == 2 else m[m.lastindex]
         at = m.end()
 
 
@@ -342,5 +370,5 @@ def concatenated(text: str) -> Iterator[tuple[int, Any]]:
             value, end = decoder.raw_decode(text, at)
         except ValueError as e:
             raise JsonError(INVALID_JSON, str(e), "decode") from None
-        yield at, value
+        yield at, _paired(value)
         at = end

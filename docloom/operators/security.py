@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docloom.config import DEFAULT, Config
 from docloom.errors import DEPTH_LIMIT, INVALID_JSON, SECURITY_VIOLATION, SIZE_LIMIT, JsonError
 from docloom.functions import values
+from docloom.functions.columns import native_nesting  # noqa: F401
 
 #: Texts that make a document dangerous.
 DANGEROUS = (
@@ -60,9 +61,15 @@ def dangerous_regex(config: Config = DEFAULT) -> str:
     return "(?i)" + "|".join(map(_bounded, dict.fromkeys((*DANGEROUS, *_registry, *config.patterns))))
 
 
+#: Texts that large documents may not hold even within longer words, and the size from which that holds.
+CRITICAL, LARGE = ("__proto__", "constructor[", "prototype."), 4_096
+
+
 def is_dangerous(text: Column | str, config: Config = DEFAULT) -> Column:
-    """Whether a text holds one of the patterns, anywhere, in any case. NULL for NULL."""
-    return (F.col(text) if isinstance(text, str) else text).rlike(dangerous_regex(config))
+    """Whether a text holds one of the patterns, anywhere, in any case; in a text of LARGE bytes or more the critical ones count
+    within words, too. NULL for NULL."""
+    c = F.col(text) if isinstance(text, str) else text
+    return c.rlike(dangerous_regex(config)) | ((F.octet_length(c) >= LARGE) & reduce(or_, [c.contains(x) for x in CRITICAL]))
 
 
 def _minimal(words: tuple[str, ...]) -> list[str]:
@@ -89,7 +96,7 @@ def json_input_error(doc: Column | str, config: Config = DEFAULT) -> Column:
                 code = INVALID_JSON
             elif len(d.encode("utf-8", "surrogatepass")) > config.max_json_size:
                 code = SIZE_LIMIT
-            elif not config.skip_validation and dangerous.search(d):
+            elif not config.skip_validation and (dangerous.search(d) or len(d.encode("utf-8", "surrogatepass")) >= LARGE and any(x in d for x in CRITICAL)):
                 code = SECURITY_VIOLATION
             elif nesting(d) > config.max_depth:
                 code = DEPTH_LIMIT
@@ -112,16 +119,3 @@ def nesting(text: str) -> int:
         level += 1 if c in "[{" else -1
         deepest = max(deepest, level)
     return deepest
-
-
-def native_nesting(text: Column | str) -> Column:
-    """nesting by built-in functions."""
-    c = F.col(text) if isinstance(text, str) else text
-    bare = F.regexp_extract_all(F.regexp_replace(c, r'"(?:[^"\\]|\\.)*"?', ""), F.lit(r"([\[\]{}])"), 1)
-    start = F.struct(F.lit(0).alias("level"), F.lit(0).alias("most"))
-
-    def step(acc: Column, x: Column) -> Column:
-        level = acc["level"] + F.when(x.isin("[", "{"), 1).otherwise(-1)
-        return F.struct(level.alias("level"), F.greatest(acc["most"], level).alias("most"))
-
-    return F.aggregate(bare, start, step, lambda acc: acc["most"])

@@ -578,3 +578,6 @@ def json_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.select(C.native_typed("v", "id", "long").alias("id"), C.native_typed("v", "segment", "string").alias("segment"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return o.join(c, o["o_custkey"] == c["id"]).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("orders"))
+
+
+from docloom.plans import cases  # noqa: E402, F401  (registers its queries by the functions above)

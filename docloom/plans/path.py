@@ -192,12 +192,19 @@ def _dotted(path: str, config: Config) -> list[Segment]:
     return out
 
 
+def native_key(name: str) -> str | None:
+    """A name as a step of a VARIANT path, in the quotes that it doesn't hold; None if it holds both kinds or a backslash."""
+    if "\\" in name or ("'" in name and '"' in name):
+        return None
+    return f'["{name}"]' if "'" in name else f"['{name}']"
+
+
 def native_path(segments: tuple[Segment, ...]) -> str | None:
     """The segments as a VARIANT path, if they are names and indices from 0 only; names are always quoted."""
     out = "$"
     for s in segments:
-        if s.kind == PROPERTY and "'" not in s.key and "\\" not in s.key:
-            out += f"['{s.key}']"
+        if s.kind == PROPERTY and (key := native_key(s.key)):
+            out += key
         elif s.kind == INDEX and s.index >= 0:
             out += f"[{s.index}]"
         else:

@@ -83,9 +83,10 @@ def read_into(spark: SparkSession, path: str, schema: str | T.StructType, contin
 
 
 def load_file(spark: SparkSession, path: str, config: Config = DEFAULT) -> DataFrame:
-    """(file, value): whole JSON files, those within the size limit."""
+    """(file, value, error): whole JSON files. Those over the size limit have an error and no value; `good` leaves them out."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.where(F.octet_length("value") <= config.max_json_size)
+    large = F.octet_length("value") > config.max_json_size
+    return whole.select("file", F.when(~large, F.col("value")).alias("value"), F.when(large, F.lit(SIZE_LIMIT)).alias("error"))
 
 
 def load_typed(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:

@@ -1,6 +1,7 @@
 """The engine on DataFrames: columns, operators, sources, streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,45 @@ def test_merge_rows_is_ordered(spark):
     assert out == '{"a":3,"b":2}'
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_merge_rows_is_a_left_fold(spark, parts):
+    r = random.Random(parts)
+    pool = ["{}", '{"k":{"p":1}}', '{"k":null}', '{"k":{"q":2}}', '{"k":[1,2]}', '{"k":[2,3]}', '{"k":{"p":{"x":1}}}', '{"k":7,"l":[1,1]}', "[1]", "bad"]
+    rows = [(g, i, r.choice(pool)) for g in range(6) for i in range(r.randrange(1, 30))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        df = spark.createDataFrame(rows, "g long, i long, doc string").repartition(parts)
+        got = {x.g: (x.doc and json.loads(x.doc), x.bad) for x in combine.merge_rows(df, ["g"], "i", "doc").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g in range(6):
+        total, bad = None, 0
+        for _, _, d in sorted(x for x in rows if x[0] == g):
+            v = None if d == "bad" else json.loads(d)
+            if isinstance(v, dict):
+                total = v if total is None else values.merge(total, v)
+            else:
+                bad += 1
+        assert got[g] == (total, bad)
+
+
+def test_odd_documents(spark):
+    texts = ['{"a":1,"a":2}', '"\\ud800"', "1e999", '{"k":1} x', "1],[2", "1,2", '{"a":[' + "1," * 9 + "1]}", "[" * 250 + "]" * 250, "", " 1 ", '"' + "x" * 1_000_000 + '"', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, doc string")
+    assert [r[0] for r in one(df, C.json_valid("doc"))] == [True, True, True, False, False, False, True, False, False, True, True, False]
+    assert [r[0] for r in one(df, C.native_nesting("doc"))][:1] + [r[0] for r in one(df, C.native_nesting("doc"))][7:11] == [1, 250, 0, 0, 0]
+    assert one(df, C.native_typed(C.variant("doc"), "a", "long"), C.json_get_typed("doc", "a", "long"))[0] == (2, 2)
+    assert one(df, C.json_compact("doc"))[1][0] == '"\ufffd"'
+    assert [r.n for r in df.select("id", F.size(validate.json_validate("doc", Schema(type="integer"))).alias("n")).where("id = 2").collect()] == [1]
+
+
+def test_large_files_have_an_error(spark, tmp_path):
+    (tmp_path / "a.json").write_text("[1]")
+    (tmp_path / "b.json").write_text("[" + "1," * 50 + "1]")
+    got = {r.file[-6:]: (r.value, r.error) for r in jsonl.load_file(spark, str(tmp_path), DEFAULT.but(max_json_size=20)).collect()}
+    assert got == {"a.json": ("[1]", None), "b.json": (None, "SIZE_LIMIT")}
+
+
 def test_schema():
     s = Schema(
         type="object",
