@@ -30,8 +30,8 @@ SHINGLE, LEAST = 5, 0.8
 SEGMENTS, NEAR, TAKE = 8, 2, 2
 LARGE, LARGE_SEGMENTS, LARGE_TAKE = 2**26, 12, 3
 #: Rows of a key that are compared all with all at once; documents of a cell in which pairs are verified, and of a cell of a
-#: hot key, about; rows that may be broadcast.
-SMALL, CELL, KEY_CELL, BROADCAST = 16, 256, 20_000, 20_000
+#: hot key, about; rows that may be broadcast; bits of the map of texts that are needed.
+SMALL, CELL, KEY_CELL, BROADCAST, BITS = 16, 256, 20_000, 20_000, 1 << 26
 
 
 class _WordHashes(dict):
@@ -245,6 +245,17 @@ def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
+def _may_be_in(texts: DataFrame, need: DataFrame) -> DataFrame:
+    """The rows of texts whose node is in need, and a few others: nodes are marked in a bitmap of BITS bits by hash, which is
+    broadcast (8 MB at the most), so other texts aren't shuffled."""
+    h = F.pmod(F.xxhash64("node"), F.lit(BITS))
+    at = (F.bitmap_bucket_number(h).alias("_bucket"), F.bitmap_bit_position(h).cast("int").alias("_bit"))
+    maps = need.select(*at).repartition(n_parts(need.sparkSession), "_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    byte = F.conv(F.hex(F.substr("_map", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    ok = F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)).cast("int") % 2 == 1
+    return texts.select("*", *at).join(F.broadcast(maps), "_bucket").where(ok).select(*texts.columns)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """(u, v, ok): whether the texts of distinct pairs (u, v) are as like as `least`, by their sets of shingles.
 
@@ -257,12 +268,13 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least:
     placed = pairs.join(low.select(F.col("node").alias("u"), F.col("m").alias("mu")), "u").join(low.select(F.col("node").alias("v"), F.col("m").alias("mv")), "v")
     placed = cut(placed.select("u", "v", F.least("mu", "mv").alias("g")), "placed")
     size = placed.groupBy("g").agg((F.approx_count_distinct("u") + F.approx_count_distinct("v")).alias("n"))
-    size = size.select("g", F.ceil(F.col("n") / (2 * CELL)).alias("cells"))
+    size = cut(size.select("g", F.ceil(F.col("n") / (2 * CELL)).alias("cells")).where("cells > 1"), "cells")
+    size = F.broadcast(size) if size.limit(BROADCAST + 1).count() <= BROADCAST else size
     part = lambda c: F.pmod(F.xxhash64(c), F.col("cells"))
-    placed = placed.join(size, "g").select(F.xxhash64("g", part("u"), part("v")).alias("cell"), "u", "v")
+    placed = placed.join(size, "g", "left").withColumn("cells", F.coalesce("cells", F.lit(1))).select(F.xxhash64("g", part("u"), part("v")).alias("cell"), "u", "v")
     need = placed.select("cell", F.explode(F.array("u", "v")).alias("node")).groupBy("cell", "node").agg(F.count(F.lit(1))).select("cell", "node")
     need = cut(need, "need")
-    told = texts.join(F.broadcast(need) if need.limit(BROADCAST + 1).count() <= BROADCAST else need, "node").select("cell", F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "text")
+    told = _may_be_in(texts, need).join(need, "node").select("cell", F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "text")
     rows = told.unionAll(placed.select("cell", "u", "v", F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
