@@ -125,3 +125,24 @@ def test_pairs_within_keys_over_batches(monkeypatch):
         batches = [pa.record_batch([pa.array(c) for c in zip(*rows[i : i + size])], names=["key", "node", "n", "fp"]) for i in range(0, len(rows), size)]
         got = [(u, v) for b in similar._within(3, 0.8)(iter(batches)) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         assert set(got) == want
+
+
+def test_a_dense_group_with_few_links(spark, monkeypatch):
+    """Copies of one text with so many edits that their fingerprints are near, but only some pairs are linked."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(160):
+        words = list(base)
+        for at in r.sample(range(120), r.randrange(2, 6)):
+            words[at] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    want, calls, dense = slow_components(texts), [], similar._dense_links
+    assert len(set(want)) > 20
+    monkeypatch.setattr(similar, "_dense_links", lambda *a: calls.append(1) or dense(*a))
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string").repartition(3)
+    for cell in (similar.CELL, 8):
+        monkeypatch.setattr(similar, "CELL", cell)
+        got = {x.node: x.component for x in similar.groups(rows).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert len(calls) == 2
