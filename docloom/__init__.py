@@ -36,6 +36,8 @@ from docloom.functions.columns import (
     safe_get,
     variant,
 )
+from docloom.functions.encode import Field, encode_batch, encode_record, encode_stream, rfc3339
+from docloom.functions.record import from_value, to_value
 from docloom.operators.validate import Schema, json_validate
 
 __all__ = [

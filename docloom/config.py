@@ -39,6 +39,9 @@ class Config:
     max_batch: int = 2_000
     max_line: int = 1024 * 1024
     chunk: int = 1_000
+    most_running: int = 50
+    most_kept: int = 16
+    keep_seconds: int = 300
     create_paths: bool = True
     cleanup_nulls: bool = False
     compact_arrays: bool = False
@@ -50,6 +53,7 @@ class Config:
     patterns: tuple[str, ...] = ()
     encode: EncodeConfig = field(default_factory=EncodeConfig)
     hooks: tuple[Any, ...] = ()
+    path_parser: Callable[[str], Any] | None = None  # gives a path's segments in place of the parser here
     validators: tuple[Callable, ...] = ()
 
     _BOUNDS: ClassVar[dict[str, tuple[int, int]]] = {
@@ -61,6 +65,9 @@ class Config:
         "max_batch": (1, 10_000),
         "max_line": (1, 100 * 1024 * 1024),
         "chunk": (1, 1_000_000),
+        "most_running": (1, 1_000),
+        "most_kept": (0, 1_000),
+        "keep_seconds": (0, 86_400),
     }
 
     def checked(self) -> tuple[Config, list[str]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
@@ -9,9 +10,10 @@ from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from docloom.config import DEFAULT, Config
-from docloom.errors import JsonError
+from docloom.errors import CLOSED, CONCURRENCY_LIMIT, JsonError
 from docloom.functions import columns, interp, values
 from docloom.operators import batch, security, validate
 from docloom.plans.path import parse
@@ -27,11 +29,18 @@ class Hook(Protocol):
 
 @dataclass
 class Engine:
-    """Column operations under one configuration. Nothing here holds data, so an engine can be shared and needs no closing."""
+    """Column operations under one configuration. It holds nothing but references to frames that Spark keeps for `parsed`."""
 
     config: Config = DEFAULT
     hooks: list[Hook] = field(default_factory=list)
     counts: dict[str, int] = field(default_factory=dict)
+    times: dict[str, list[float]] = field(default_factory=dict)  # by operation: runs, and seconds in all, least and most
+    hits: int = 0
+    misses: int = 0
+    _kept: dict[tuple, tuple[DataFrame, DataFrame, float]] = field(default_factory=dict, repr=False)
+    _running: int = field(default=0, repr=False)
+    _closed: bool = field(default=False, repr=False)
+    _changed: threading.Condition = field(default_factory=threading.Condition, repr=False)
 
     def _planned(self, op: str, path: str, f: Callable[[], Any]) -> Any:
         began, done, error = time.perf_counter(), [], None
@@ -45,9 +54,74 @@ class Engine:
             error = e
             raise
         finally:
+            self._timed(op, time.perf_counter() - began)
             for h in reversed(done):
                 h.after(op, path, error, time.perf_counter() - began)
 
+    def _timed(self, op: str, seconds: float) -> None:
+        n, total, least, most = self.times.get(op, [0, 0.0, seconds, seconds])
+        self.times[op] = [n + 1, total + seconds, min(least, seconds), max(most, seconds)]
+
+    def metrics(self) -> dict[str, dict[str, float]]:
+        """Runs and average, least and most seconds of each operation, and how often `parsed` found a kept frame."""
+        out = {op: {"runs": n, "average": total / n, "least": least, "most": most} for op, (n, total, least, most) in self.times.items()}
+        asked = self.hits + self.misses
+        return out | {"kept": {"hits": self.hits, "misses": self.misses, "ratio": self.hits / asked if asked else 0.0, "frames": len(self._kept)}}
+
+    def parsed(self, df: DataFrame, doc: str, name: str = "v") -> DataFrame:
+        """df with the VARIANT of a document under `name`, which Spark keeps in memory or on disk: until clear_cache, keep_seconds
+        or most_kept newer ones. A frame of an equal plan gets the kept one."""
+        key, now = (df.semanticHash(), doc, name), time.monotonic()
+        for k in [k for k, (_, _, at) in self._kept.items() if now - at > self.config.keep_seconds]:
+            self._drop(k)
+        if key in self._kept and self._kept[key][0].sameSemantics(df):
+            self.hits += 1
+            self._kept[key] = self._kept.pop(key)  # the last to go
+            return self._kept[key][1]
+        self.misses += 1
+        new = df.withColumn(name, columns.variant(self._checked(doc)))
+        if not self.config.most_kept:
+            return new
+        self._drop(key)
+        while len(self._kept) >= self.config.most_kept:
+            self._drop(next(iter(self._kept)))
+        self._kept[key] = (df, new.persist(StorageLevel.MEMORY_AND_DISK), now)
+        return new
+
+    def _drop(self, key: tuple) -> None:
+        if key in self._kept:
+            self._kept.pop(key)[1].unpersist()
+
+    def clear_cache(self) -> None:
+        """Let go of all kept frames; those in use are computed again."""
+        for k in list(self._kept):
+            self._drop(k)
+
+    def run(self, action: Callable[[], Any]) -> Any:
+        """An action, such as a count, as one of most_running at once at most; beyond these, and after close, a JsonError."""
+        with self._changed:
+            if self._closed:
+                raise JsonError(CLOSED, "the engine is closed", "run")
+            if self._running >= self.config.most_running:
+                raise JsonError(CONCURRENCY_LIMIT, f"{self._running} actions are running", "run")
+            self._running += 1
+        began = time.perf_counter()
+        try:
+            return action()
+        finally:
+            with self._changed:
+                self._running -= 1
+                self._timed("run", time.perf_counter() - began)
+                self._changed.notify_all()
+
+    def close(self, seconds: float = 30.0) -> bool:
+        """Refuse new actions, wait for the running ones, and clear the cache. Whether all ended in time."""
+        with self._changed:
+            self._closed = True
+            ended = self._changed.wait_for(lambda: not self._running, seconds)
+        self.clear_cache()
+        return ended
+
     def _checked(self, doc: Column | str) -> Column:
         """The document where all validators (functions from a Column to a boolean Column) agree, else NULL."""
         c = F.col(doc) if isinstance(doc, str) else doc

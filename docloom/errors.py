@@ -12,6 +12,8 @@ SIZE_LIMIT = "SIZE_LIMIT"
 DEPTH_LIMIT = "DEPTH_LIMIT"
 SECURITY_VIOLATION = "SECURITY_VIOLATION"
 UNSUPPORTED = "UNSUPPORTED"
+CONCURRENCY_LIMIT = "CONCURRENCY_LIMIT"
+CLOSED = "CLOSED"
 
 
 class JsonError(Exception):

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from docloom.config import DEFAULT, Config
 from docloom.errors import INVALID_PATH, PATH_NOT_FOUND, JsonError
-from docloom.functions import convert, interp, values
+from docloom.functions import convert, interp, record, values
 from docloom.plans.path import native_key, native_path, parse
 
 SPARK_TYPES = {"int": "int", "long": "bigint", "unsigned": "decimal(20,0)", "double": "double", "boolean": "boolean", "string": "string"}
@@ -156,27 +156,33 @@ def json_get(doc: Column | str, path: str, config: Config = DEFAULT) -> Column:
     return _texts(lambda v: values.dumps(interp.get(v, segments)), config)(doc)
 
 
-def json_get_all(doc: Column | str, paths: Mapping[str, tuple[str, str]], config: Config = DEFAULT) -> Column:
-    """A struct with a field for each name: paths maps names to (path, type). One parse serves them all; what fails is NULL."""
+def json_get_all(doc: Column | str, paths: Mapping[str, tuple[str, str]], config: Config = DEFAULT, error: str | None = None) -> Column:
+    """A struct with a field for each name: paths maps names to (path, type). One parse serves them all; what fails is NULL. With
+    error, a last field of that name has the code of the first failure in the order of paths, NULL if there is none."""
     plan = {name: (parse(path, config), to) for name, (path, to) in paths.items()}
-    kind = T._parse_datatype_string(", ".join(f"`{n}` {SPARK_TYPES[to]}" for n, (_, to) in plan.items()))
+    kind = T._parse_datatype_string(", ".join([*(f"`{n}` {SPARK_TYPES[to]}" for n, (_, to) in plan.items()), *([f"`{error}` string"] if error else [])]))
 
     def run(docs: pd.Series) -> pd.DataFrame:
         out: dict[str, list] = {n: [] for n in plan}
+        failed: list[str | None] = []
         for d in docs:
+            first = None
             try:
                 v, known = values.loads(d, config), True
-            except JsonError:
-                v, known = None, False
+            except JsonError as e:
+                v, known, first = None, False, e.code
             for n, (segments, to) in plan.items():
                 try:
                     out[n].append(values.convert(interp.get(v, segments), to) if known else None)
-                except JsonError:
+                except JsonError as e:
                     out[n].append(None)
+                    first = first or e.code
+            failed.append(first)
         types = {"int": "Int32", "long": "Int64", "double": "Float64", "boolean": "boolean", "string": object}
         decimals = {n for n, (_, to) in plan.items() if to == "unsigned"}
         out |= {n: [None if x is None else Decimal(x) for x in out[n]] for n in decimals}
-        return pd.DataFrame({n: pd.array(x, dtype=types[plan[n][1]]) if plan[n][1] in types and plan[n][1] != "string" else pd.Series(x, dtype=object) for n, x in out.items()})
+        found = {n: pd.array(x, dtype=types[plan[n][1]]) if plan[n][1] in types and plan[n][1] != "string" else pd.Series(x, dtype=object) for n, x in out.items()}
+        return pd.DataFrame(found | ({error: pd.Series(failed, dtype=object)} if error else {}))
 
     return F.pandas_udf(run, returnType=kind)(_column(doc))
 
@@ -220,7 +226,7 @@ def json_set(doc: Column | str, path: str, value: Column | str | int | float | b
 
     if not isinstance(value, Column):
         try:
-            given = values.loads(value) if raw and value is not None else value
+            given = values.loads(value) if raw and value is not None else record.to_value(value)
         except JsonError:
             return _column(doc)
 
@@ -245,7 +251,7 @@ def json_set(doc: Column | str, path: str, value: Column | str | int | float | b
 
 def json_set_many(doc: Column | str, changes: Mapping[str, Any], config: Config = DEFAULT) -> Column:
     """The document with constants at several paths, set in the paths' order, all or (with continue_on_error) those that can be."""
-    plan = [(parse(p, config), v) for p, v in sorted(changes.items())]
+    plan = [(parse(p, config), record.to_value(v)) for p, v in sorted(changes.items())]
 
     def run(docs: pd.Series) -> pd.Series:
         out = []
@@ -262,7 +268,7 @@ def json_set_many(doc: Column | str, changes: Mapping[str, Any], config: Config
 def json_apply(doc: Column | str, changes: Sequence[tuple], config: Config = DEFAULT) -> Column:
     """Several changes in one parse, one after the other: ("set", path, value) and ("delete", path). The original text where one
     of them fails; with continue_on_error those that fail are left out."""
-    plan = [(c[0], parse(c[1], config), c[2] if len(c) > 2 else None) for c in changes]
+    plan = [(c[0], parse(c[1], config), record.to_value(c[2]) if len(c) > 2 else None) for c in changes]
 
     def run(docs: pd.Series) -> pd.Series:
         out = []

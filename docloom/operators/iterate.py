@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.config import DEFAULT, Config
-from docloom.errors import JsonError
+from docloom.errors import INVALID_PATH, JsonError
 from docloom.functions import columns, interp, values
 from docloom.plans.path import parse
 
@@ -45,15 +45,19 @@ def explode_path(df: DataFrame, doc: str, path: str, config: Config = DEFAULT) -
     return df.withColumn("_e", F.explode(each(F.col(doc)))).select(*df.columns, "_e.*")
 
 
-def walk(df: DataFrame, doc: str, config: Config = DEFAULT) -> DataFrame:
+def walk(df: DataFrame, doc: str, config: Config = DEFAULT, path: str = "") -> DataFrame:
     """df with `at`, `depth`, `key`, `type` and `value` (JSON text of scalars, NULL for containers) for every value in the
-    document, parents first. Documents that aren't JSON have no rows."""
+    document, parents first. Documents that aren't JSON have no rows. With a path of names the walk begins at what is there, whose
+    places count from it; documents without it have no rows."""
+    segments = parse(path, config)
+    if any(s.kind != "property" for s in segments):
+        raise JsonError(INVALID_PATH, "a walk begins at a path of names", "walk", path)
 
     def run(docs: pd.Series) -> pd.Series:
         out = []
         for d in docs:
             try:
-                v = values.loads(d, config)
+                v = interp.get(values.loads(d, config), segments)
             except JsonError:
                 v = None
             out.append([{"at": p, "depth": n, "key": k, "type": values.kind(x), "value": None if isinstance(x, (list, dict)) else values.dumps(x)} for p, n, k, x in values.walk(v, most=config.max_depth)])

@@ -13,6 +13,7 @@ from docloom.engine import Engine
 from docloom.errors import JsonError
 from docloom.functions import columns as C
 from docloom.functions import convert
+from docloom.functions.encode import Field, encode_batch, encode_record, encode_stream, rfc3339
 from docloom.operators import combine, iterate, security, validate
 from docloom.operators.validate import Schema
 from docloom.plans import path as P
@@ -318,3 +319,53 @@ def json_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = iterate.explode(d, "props")
     return keys.select("event_id", "k", "same", F.col("key").alias("first_key"))
 
+
+
+@query(
+    "json_encode_columns",
+    f"""SELECT event_id, '[' || event_id || ',' || {_K} || ',null]' AS stream,
+    '{{"half":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE (event_id % 2)::VARCHAR END || ',"id":' || event_id || ',"type":"' || event_type || '"}}' AS batch,
+    '{{"id":"' || event_id || '"' || CASE WHEN {_K} % 3 = 0 THEN '' ELSE ',"rest":' || ({_K} % 3) END || ',"at":"'
+    || regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') || 'Z","type":"' || to_base64(encode(event_type)) || '","props":' || props || '}}' AS record FROM events""",
+)
+def json_encode_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns as arrays, objects and records; fields left out if empty, quoted, in base 64, times, and JSON as it is."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    fields = [Field("id", "event_id", quoted=True), Field("rest", k % 3, omit_empty=True), Field("at", rfc3339("ts")), Field("type", F.col("event_type").cast("binary")), Field("props", "props", raw=True)]
+    return table(spark, sf_dir, "events").select(
+        "event_id", encode_stream(F.array("event_id", k, F.lit(None).cast("long"))).alias("stream"),
+        encode_batch({"type": "event_type", "id": "event_id", "half": F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 2)}).alias("batch"), encode_record(*fields).alias("record"),
+    )
+
+
+@query(
+    "json_walk_below",
+    f"""SELECT event_id, 'b' AS at, 1 AS depth, {_K} AS value FROM events WHERE {_M} = 2
+    UNION ALL SELECT event_id, '[' || i || ']', 1, CASE i WHEN 2 THEN {_K} ELSE i + 1 END FROM events, range(3) r(i) WHERE {_M} = 1""",
+)
+def json_walk_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: what is below a name; other documents have no rows."""
+    return iterate.walk(varied(spark, sf_dir), "doc", path="a").select("event_id", "at", "depth", F.col("value").cast("long").alias("value"))
+
+
+@query(
+    "json_first_error",
+    f"""SELECT event_id, CASE WHEN {_M} IN (0, 3) THEN {_K} END AS k, CASE WHEN {_M} = 2 THEN {_K} END AS deep,
+    CASE WHEN {_M} IN (0, 2, 3) THEN 'PATH_NOT_FOUND' WHEN {_M} >= 5 THEN 'INVALID_JSON' END AS error FROM events""",
+)
+def json_first_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several paths and the first error beside them."""
+    got = C.json_get_all("doc", {"k": ("k", "long"), "deep": ("a.b", "long")}, error="error")
+    return varied(spark, sf_dir).select("event_id", got.alias("g")).select("event_id", "g.k", "g.deep", "g.error")
+
+
+@query("json_kept", f"SELECT event_id, {_K} AS k, {_K} AS again FROM events")
+def json_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path parser of one's own, a frame that is kept and found again, an action in a slot, figures."""
+    e = Engine(DEFAULT.but(path_parser=lambda p: P.parse(p.lower()), most_running=1))
+    read = lambda: table(spark, sf_dir, "events").select("event_id", "props")
+    kept = e.parsed(read(), "props")
+    out = e.run(lambda: kept.select("event_id", e.get_typed("props", "K", "long").alias("k"), C.native_typed("v", "k", "long").alias("again")))
+    assert e.parsed(read(), "props") is kept and e.metrics()["kept"]["hits"] == 1 and e.metrics()["get"]["runs"] == 1
+    assert e.close()
+    return out

@@ -145,6 +145,8 @@ def _braces(text: str, path: str) -> Segment:
 def parse(path: str, config: Config = DEFAULT) -> tuple[Segment, ...]:
     """Segments of a path; the whole document has none."""
     validate(path, config)
+    if config.path_parser is not None:
+        return tuple(config.path_parser(path))
     if path in ("", ".", "/"):
         return ()
     if is_pointer(path):
