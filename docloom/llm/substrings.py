@@ -167,27 +167,51 @@ def _symbol(text: np.ndarray, at: np.ndarray, width: int = 8) -> np.ndarray:
     return every[at].astype(np.uint64) >> np.uint64(8 * (8 - width))
 
 
+def _quicksorted(text: np.ndarray, starts: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort: the order of suffixes by their first `shallow` bytes, and for each place the first place of its equals.
+
+    Each pass parts every open segment in three by the median of three of its symbols (eight bytes): smaller and larger ones stay
+    at their depth, equal ones go on to the next symbol. All segments of a pass are moved at once, by counting.
+    """
+    n = len(starts)
+    order, segment = np.arange(n), np.zeros(n, np.int64)
+    i, seg, depth = (np.arange(n), segment, np.zeros(n, np.int64)) if n > 1 else (np.empty(0, np.int64),) * 3  # of open places
+    key = _symbol(text, starts[order[i]])
+    while len(i):
+        head = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
+        size = np.diff(np.append(head, len(i)))
+        of = np.repeat(np.arange(len(head)), size)
+        x, y, z = key[head], key[head + size // 2], key[head + size - 1]
+        pivot = np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z))[of]
+        part = (key > pivot).astype(np.int64) + (key >= pivot)
+        count = np.bincount(3 * of + part, minlength=3 * len(head))
+        first, by = np.cumsum(count) - count, np.empty(len(i), np.int64)
+        for k in range(3):
+            some = np.flatnonzero(part == k)
+            shift = first[k::3] - (np.cumsum(count[k::3]) - count[k::3])
+            by[shift[of[some]] + np.arange(len(some))] = some
+        order[i], key = order[i[by]], key[by]
+        full = np.flatnonzero(count)
+        seg, size = np.repeat(i[first[full]], count[full]), np.repeat(count[full], count[full])
+        segment[i] = seg
+        equal = np.repeat(full % 3 == 1, count[full])
+        depth = depth[by] + 8 * equal
+        open_ = (size > 1) & (depth < shallow)
+        i, seg, depth, key, equal = i[open_], seg[open_], depth[open_], key[open_], equal[open_]
+        key[equal] = _symbol(text, starts[order[i[equal]]] + depth[equal])
+    return order, segment
+
+
 def suffix_classes(text: np.ndarray, starts: np.ndarray, depth: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Sort the suffixes of text at `starts` by their first `depth` bytes: their order, and their number among the distinct ones.
 
-    Multikey quicksort on symbols of eight bytes orders them to the shallow depth, all unfinished segments in one pass.
+    Multikey quicksort on symbols of eight bytes orders them to the shallow depth.
     Segments that are still equal there hold long common prefixes: if their rest is equal to the segment's first, they are
     done, else a blind trie orders it.
     """
     n, text = len(starts), np.append(text, np.zeros(8, np.uint8))
-    order, segment = np.arange(n), np.zeros(n, np.int64)
-    open_ = np.ones(n, bool)  # by place in order
-    for at in range(0, shallow, 8):
-        i = np.flatnonzero(open_)
-        key = _symbol(text, starts[order[i]] + at)
-        by = np.lexsort((key, segment[i]))
-        order[i], key = order[i][by], key[by]  # segments keep their places
-        seg = segment[i]  # ascending, so by leaves it as it is
-        new = np.append(True, (seg[1:] != seg[:-1]) | (key[1:] != key[:-1])) if len(i) else np.empty(0, bool)
-        head = np.flatnonzero(new)
-        segment[i] = np.repeat(i[head], np.diff(np.append(head, len(i))))  # a segment is named by its first place
-        size = np.bincount(segment, minlength=n + 1)
-        open_ = size[segment] > 1
+    order, segment = _quicksorted(text, starts, shallow)
+    open_ = np.bincount(segment, minlength=n + 1)[segment] > 1
     i = np.flatnonzero(open_)
     if len(i):
         seg, places = segment[i], starts[order[i]]
