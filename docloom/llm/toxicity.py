@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -107,28 +108,17 @@ class Model:
         return score
 
 
-def fit(labelled: DataFrame, bits: int = BITS, steps: int = STEPS) -> Model:
-    """Fit on labelled rows (doc_id, text, toxic), of which the caller holds the number down. Rows with a null label are left out.
-
-    The driver receives the features of each row, a few KB. It makes about `steps` steps, in a fixed order; features of fewer
-    than SEEN rows are left out. With no rows every score is 0.5.
-    """
-    rows = labelled.where(F.col("toxic").isNotNull()).select(F.xxhash64("doc_id", "toxic").alias("k"), (F.col("toxic") > 0).cast("int").alias("y"), "text")
-
-    def make():
-        cache = _WordHashes()
-        return lambda texts: [pa.array([np.unique(features(t, cache, bits)).astype("<u4").tobytes() for t in texts], pa.binary())]
-
-    found = map_texts(rows, "text", [("x", T.BinaryType())], make).drop("text")
-    got = sorted((r["k"], r["y"], bytes(r["x"])) for r in found.toLocalIterator())
+def learnt(rows: list[tuple[int, int, bytes]], bits: int, steps: int) -> Model:
+    """The model of rows (a hash, label, features as 32-bit numbers), which it empties: about `steps` steps in a fixed order."""
+    rows.sort()
     model, seen = FTRL(bits), np.zeros(2**bits, np.int32)
-    for _, _, x in got:
+    for _, _, x in rows:
         seen[np.frombuffer(x, "<u4")] += 1
-    xs, ys = [], [y for _, y, _ in got]
-    for i in range(len(got)):
-        x = np.frombuffer(got[i][2], "<u4")
+    xs, ys = [], [y for _, y, _ in rows]
+    for i in range(len(rows)):
+        x = np.frombuffer(rows[i][2], "<u4")
         xs.append(x[seen[x] >= SEEN])
-        got[i] = None  # the filtered copy is enough
+        rows[i] = None  # the filtered copy is enough
     rng = np.random.default_rng(7)
     for _ in range(min(12, max(4, steps // len(xs))) if xs else 0):
         for i in rng.permutation(len(xs)):
@@ -136,11 +126,34 @@ def fit(labelled: DataFrame, bits: int = BITS, steps: int = STEPS) -> Model:
                 model.learn(xs[i], ys[i])
     w, bias = model.weights(slice(0, 2**bits)), model.bias() if xs else 0.0
     index = np.flatnonzero(w)
-    del xs, got, model, seen
-    release()
     return Model(index, w[index].astype(np.float64), bias, bits)
 
 
+def fit(labelled: DataFrame, bits: int = BITS, steps: int = STEPS) -> Model:
+    """Fit on labelled rows (doc_id, text, toxic), of which the caller holds the number down. Rows with a null label are left out.
+
+    One task receives the features of each row, a few KB, and makes all steps; features of fewer than SEEN rows are left out. The
+    driver receives the few weights that aren't zero. With no rows every score is 0.5.
+    """
+    rows = labelled.where(F.col("toxic").isNotNull()).select(F.xxhash64("doc_id", "toxic").alias("k"), (F.col("toxic") > 0).cast("int").alias("y"), "text")
+
+    def make():
+        cache = _WordHashes()
+        return lambda texts: [pa.array([np.unique(features(t, cache, bits)).astype("<u4").tobytes() for t in texts], pa.binary())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("k", "y", "x")), strict=True)]
+        m = learnt(got, bits, steps)
+        yield pa.record_batch([pa.array([m.index.astype("<i8").tobytes()], pa.binary()), pa.array([m.weight.tobytes()], pa.binary()), pa.array([m.bias])], names=["i", "w", "bias"])
+        del m
+        release()
+
+    found = map_texts(rows, "text", [("x", T.BinaryType())], make).drop("text")
+    made = found.repartition(1).mapInArrow(run, "i binary, w binary, bias double").collect()
+    i, w, bias = made[0] if made else (b"", b"", 0.0)
+    return Model(np.frombuffer(i, "<i8"), np.frombuffer(w, np.float64), bias, bits)
+
+
 def bounded_labels(labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """The labelled rows that fit may learn from: doc_id hash order, train_docs at most, one row for each doc_id."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

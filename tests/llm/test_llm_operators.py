@@ -600,6 +600,18 @@ def test_op10_bound_holds_for_repeated_rows(spark, monkeypatch):
     assert len(seen) == 10 and {r.text for r in seen} == {"text 0"}
 
 
+def test_op10_trains_away_from_the_driver(spark, monkeypatch):
+    class Elsewhere(toxicity.FTRL):
+        def __post_init__(self):
+            raise AssertionError("the driver holds the whole model")
+
+    rows = docs_of(spark, [(i, f"a word and {'bad' if i % 3 else 'good'} ones") for i in range(60)])
+    labels = spark.createDataFrame([(i, 1, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "FTRL", Elsewhere)
+    model = toxicity.train_from_tables(rows, labels)
+    assert len(model.index) and model.scorer()("a word and bad ones") > 0.5 > model.scorer()("a word and good ones")
+
+
 def test_ftrl_against_a_slow_version():
     rng, fast, z, n = np.random.default_rng(4), toxicity.FTRL(bits=6, l1=0.4), [0.0] * 65, [0.0] * 65
     for _ in range(300):
