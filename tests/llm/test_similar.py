@@ -146,3 +146,27 @@ def test_a_dense_group_with_few_links(spark, monkeypatch):
         got = {x.node: x.component for x in similar.groups(rows).collect()}
         assert [got[i] for i in range(len(texts))] == want
     assert len(calls) == 2
+
+
+def test_a_dense_group_verifies_few_pairs(spark, monkeypatch):
+    """Near copies that share keys but mostly aren't linked: what is verified pair by pair follows the texts, not their candidates."""
+    r = random.Random(21)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(500):
+        words = list(base)
+        for at in r.sample(range(120), r.randrange(2, 8)):
+            words[at] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    seen, verified = [], similar.verified
+    monkeypatch.setattr(similar, "verified", lambda pairs, *a: seen.append(pairs.count()) or verified(pairs, *a))
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string").repartition(3)
+    got = {x.node: x.component for x in similar.groups(rows).collect()}
+    assert [got[i] for i in range(500)] == slow_components(texts)
+    assert sum(seen) <= 3 * len(texts), seen
+
+
+def test_nearest_takes_a_pair_for_each_end(spark):
+    pairs = [(1, 2, 9), (1, 3, 4), (2, 3, 7), (4, 5, 1), (3, 5, 4)]
+    got = similar.nearest(spark.createDataFrame(pairs, "u long, v long, bits long")).collect()
+    assert sorted((x.u, x.v) for x in got) == [(1, 3), (2, 3), (4, 5)]
