@@ -448,14 +448,15 @@ def groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST, row: s
     mixed = mixed.select(cell.alias("cell"), (F.col("own") < F.col("other")).cast("int").alias("side"), "node", "n", "label", "fp")
     found = ordered(mixed, "cell", "label").mapInArrow(_across(most, least), _EDGE).groupBy("u", "v", "dense").agg(F.count(F.lit(1)))
     found = cut(found.select("u", "v", "dense"), "found")
-    few = by_label(first.where("few")).where("cu <> cv").select("u", "v")
-    second = few.unionAll(found.where("not dense").select("u", "v")).groupBy("u", "v").agg(F.count(F.lit(1))).select("u", "v")
-    second = second.join(done.select("u", "v"), ["u", "v"], "left_anti")
     dense = found.where("dense").select("u", "v")
     dense = None if dense.isEmpty() else _dense_groups(dense)
-    if dense is not None:  # _dense_links finds what pairs within a group link
-        of = lambda c: dense.select(F.col("node").alias(c), F.col("g").alias(f"g{c}"))
-        second = second.join(of("u"), "u", "left").join(of("v"), "v", "left").where("gu is null or gv is null or gu <> gv").select("u", "v")
+    second = first.where("few").select("u", "v").unionAll(found.where("not dense").select("u", "v")).groupBy("u", "v").agg(F.count(F.lit(1))).select("u", "v")
+    known = label.withColumn("g", F.lit(None).cast("long")) if dense is None else label.join(dense, "node", "full")
+    known = known.withColumn("component", F.coalesce("component", "node"))
+    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("g").alias(f"g{c}"))
+    second = second.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
+    second = second.where("gu is null or gv is null or gu <> gv").select("u", "v")  # _dense_links finds what pairs within a group link
+    second = second.join(done.select("u", "v"), ["u", "v"], "left_anti")
     second = cut(second, "pairs")
     if dense is not None or not second.isEmpty():
         links = cut(verified(second, plain, shingle, least), "links").where("ok").select("u", "v")
