@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
+from itertools import accumulate
 from operator import or_
 
 import pandas as pd
@@ -84,38 +86,62 @@ def is_sensitive(text: Column | str) -> Column:
     return F.exists(F.array(F.lower(c)), any_of)  # so that the lower case is made once
 
 
+def _scanner(config: Config) -> Callable[[str], bool]:
+    """Whether dangerous_regex finds something in a text. The expression tries each pattern at each place, so only those patterns
+    are tried that the text holds in some case at all."""
+    patterns = dict.fromkeys((*DANGEROUS, *_registry, *config.patterns))
+    tried = [(_folded(p) if p.isascii() else "", re.compile("(?i)" + _bounded(p))) for p in patterns]
+
+    def dangerous(text: str) -> bool:
+        folded = _folded(text)
+        return any(word in folded and pattern.search(text) for word, pattern in tried)
+
+    return dangerous
+
+
+def _folded(text: str) -> str:
+    """Lower case, and the ASCII letters that (?i) takes other letters for."""
+    return (text if text.isascii() else text.translate({0x130: "i", 0x131: "i", 0x17F: "s"})).lower()
+
+
 def json_input_error(doc: Column | str, config: Config = DEFAULT) -> Column:
-    """The code of what keeps a document from being taken in, or NULL: its size, a byte order mark, its patterns, its nesting, its syntax."""
-    dangerous = re.compile(dangerous_regex(config))
+    """The code of what keeps a document from being taken in, or NULL: its size, a byte order mark, its patterns, its nesting, its
+    syntax. Equal documents of a batch are looked at once."""
+    dangerous = _scanner(config)
+
+    def code(d: str | None) -> str | None:
+        if not d or d.startswith("\ufeff"):
+            return INVALID_JSON
+        size = len(d) if d.isascii() else len(d.encode("utf-8", "surrogatepass"))
+        if size > config.max_json_size:
+            return SIZE_LIMIT
+        if not config.skip_validation and (dangerous(d) or size >= LARGE and any(x in d for x in CRITICAL)):
+            return SECURITY_VIOLATION
+        if d.count("[") + d.count("{") > config.max_depth and nesting(d) > config.max_depth:
+            return DEPTH_LIMIT
+        try:
+            values.loads(d, config)
+        except JsonError as e:
+            return e.code
+        return None
 
     def run(docs: pd.Series) -> pd.Series:
+        codes: dict[str | None, str | None] = {}
         out = []
         for d in docs:
-            code = None
-            if not d or d.startswith("\ufeff"):
-                code = INVALID_JSON
-            elif len(d.encode("utf-8", "surrogatepass")) > config.max_json_size:
-                code = SIZE_LIMIT
-            elif not config.skip_validation and (dangerous.search(d) or len(d.encode("utf-8", "surrogatepass")) >= LARGE and any(x in d for x in CRITICAL)):
-                code = SECURITY_VIOLATION
-            elif nesting(d) > config.max_depth:
-                code = DEPTH_LIMIT
-            else:
-                try:
-                    values.loads(d, config)
-                except JsonError as e:
-                    code = e.code
-            out.append(code)
+            if d not in codes:
+                codes[d] = code(d)
+            out.append(codes[d])
         return pd.Series(out, dtype=object)
 
     return F.pandas_udf(run, returnType="string")(F.col(doc) if isinstance(doc, str) else doc)
 
 
+_STRING = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"?')
+_NO_BRACKET = re.compile(r"[^\[\]{}]+")
+
+
 def nesting(text: str) -> int:
     """The deepest level of brackets outside of strings; works on texts that aren't JSON, too."""
-    bare = re.sub(r'"(?:[^"\\]|\\.)*"?', "", text)
-    level = deepest = 0
-    for c in re.findall(r"[\[\]{}]", bare):
-        level += 1 if c in "[{" else -1
-        deepest = max(deepest, level)
-    return deepest
+    brackets = _NO_BRACKET.sub("", _STRING.sub("", text))
+    return max(accumulate((1 if c in "[{" else -1 for c in brackets), initial=0))
