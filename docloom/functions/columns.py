@@ -133,6 +133,12 @@ def native_merge(a: Column | str, b: Column | str, mode: str = values.UNION) ->
     return F.to_variant_object(out)
 
 
+def once(**columns: Column) -> Column:
+    """A struct of Columns that is worked out once for a row: filters and fields that use them don't copy their functions, as they
+    aren't moved through an explode. A select may have one."""
+    return F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 def _texts(f: Callable[[Any], Any], config: Config, kind: str = "string") -> Callable[[Column | str], Column]:
     """A function of the parsed document as a Column; NULL where it raises a JsonError."""
 

@@ -148,8 +148,8 @@ def json_extract_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("json_distribute", f"WITH {_LINES} SELECT o_orderkey, len(l) AS n FROM o WHERE len(l) > 1")
 def json_distribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name over an array goes to its elements; a single result stands alone, so it isn't an array."""
-    got = order_docs(spark, sf_dir).select("o_orderkey", C.safe_get("doc", "lines.part").alias("g")).where("g.type = 'array'")
-    return got.select("o_orderkey", F.size(F.from_json("g.value", "array<bigint>")).cast("long").alias("n"))
+    got = order_docs(spark, sf_dir).select("o_orderkey", C.once(g=C.safe_get("doc", "lines.part")).alias("x")).where("x.g.type = 'array'")
+    return got.select("o_orderkey", F.size(F.from_json("x.g.value", "array<bigint>")).cast("long").alias("n"))
 
 
 @query("json_safe_get", "SELECT event_id, true AS found, 'number' AS type, 'PATH_NOT_FOUND' AS missing, 'TYPE_MISMATCH' AS wrong FROM events")
@@ -253,15 +253,17 @@ def json_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = order_docs(spark, sf_dir).select("o_orderkey", cut.alias("cut"), (C.json_delete("doc", "order.nothing") == F.col("doc")).alias("kept"))
     got = C.json_get_all("cut", {"lines": ("lines", "string"), "first": ("lines[0].part", "long"), "flags": ("lines{flag}", "string")})
     n = lambda c: F.size(F.from_json(c, "array<string>"))
-    d = d.select("o_orderkey", got.alias("g"), "kept").select("o_orderkey", n("g.lines").cast("long").alias("rest"), F.coalesce("g.first", F.lit(-1)).alias("now_first"), n("g.flags").alias("flags"), "kept")
+    d = d.select("o_orderkey", C.once(g=got, kept=F.col("kept")).alias("x")).select("o_orderkey", n("x.g.lines").cast("long").alias("rest"), F.coalesce("x.g.first", F.lit(-1)).alias("now_first"), n("x.g.flags").alias("flags"), "x.kept")
     return d.where("rest >= 1")
 
 
 @query("json_delete_slice", f"WITH {_LINES} SELECT o_orderkey, len(l) - 2 AS rest, coalesce(l[3].part, -1) AS now_first FROM o WHERE len(l) >= 2")
 def json_delete_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slice that must be within bounds."""
-    d = order_docs(spark, sf_dir).select("o_orderkey", "doc", C.json_delete("doc", "lines[0:2]").alias("cut")).where("cut <> doc")
-    return d.select("o_orderkey", F.size(F.from_json(C.json_get("cut", "lines"), "array<string>")).cast("long").alias("rest"), C.json_get_typed("cut", "lines[0].part", "long", -1).alias("now_first"))
+    d = order_docs(spark, sf_dir).select("o_orderkey", C.once(doc=F.col("doc"), cut=C.json_delete("doc", "lines[0:2]")).alias("x")).where("x.cut <> x.doc")
+    got = C.json_get_all("x.cut", {"lines": ("lines", "string"), "first": ("lines[0].part", "long")})
+    d = d.select("o_orderkey", got.alias("g"))
+    return d.select("o_orderkey", F.size(F.from_json("g.lines", "array<string>")).cast("long").alias("rest"), F.coalesce("g.first", F.lit(-1)).alias("now_first"))
 
 
 @query("json_delete_clean", "SELECT event_id, 1 AS entries FROM events")
