@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from docloom.llm import substrings
+from docloom.llm import lm, substrings
+from docloom.llm.attention import Attention
 
 
 def test_anchors_of_a_block_are_those_of_its_documents():
@@ -34,3 +35,10 @@ def test_small_groups_are_sorted_without_tries(monkeypatch):
     order, number = substrings.suffix_classes(text, starts)
     rank = {k: i for i, k in enumerate(sorted(set(keys)))}
     assert [keys[i] for i in order] == sorted(keys) and number.tolist() == [rank[k] for k in keys]
+
+
+def test_wanted_positions_are_those_of_all():
+    net, r = Attention(lm.N_CLASSES, n_inputs=lm.N_INPUTS), np.random.default_rng(2)
+    x, y = r.integers(0, lm.N_INPUTS, (5, 32)), r.integers(0, lm.N_CLASSES, (5, 32))
+    some = np.flatnonzero(r.random(160) < 0.4)
+    assert np.abs(net.log_probability(x, y, some) - net.log_probability(x, y).ravel()[some]).max() < 1e-5
